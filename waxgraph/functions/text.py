@@ -75,10 +75,9 @@ def clamp_limit(
     """
     text = strip(raw)
     number = text.try_cast("decimal(38,0)")
-    clamped = F.coalesce(
-        F.greatest(F.lit(1), F.least(F.lit(top), number)).cast("int"),
-        F.when(text.startswith("-"), F.lit(1)).otherwise(F.lit(top)),
-    )
+    bounded = F.greatest(F.lit(1), F.least(F.lit(top), number)).cast("int")
+    by_sign = F.when(text.startswith("-"), F.lit(1)).otherwise(F.lit(top))
+    clamped = F.when(number.isNull(), by_sign).otherwise(bounded)
     return F.when(text.rlike("^[+-]?[0-9]+$"), clamped).otherwise(F.lit(default))
 
 

@@ -65,6 +65,11 @@ def budget_order(order: tuple[str, ...] = fixed.EDGE_TYPES) -> list[Column]:
     ]
 
 
+def _first_edges(ends: DataFrame, cap: int) -> DataFrame:
+    kept = top_per(ends, NODE, budget_order(), cap)
+    return kept.select(*NODE, "rk", *EDGE, "other_space", "other")
+
+
 def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
     """Every node's first ``cap`` edges, numbered by ``rk`` in budget order.
 
@@ -72,8 +77,7 @@ def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
     them by ``rk <= limit``. Spending one budget type by type, each type taking
     what the ones before it left, is the same as cutting the ordered list.
     """
-    ends = endpoints(edges, *EDGE)
-    return top_per(ends, NODE, budget_order(), cap)
+    return _first_edges(endpoints(edges, *EDGE), cap)
 
 
 def adjacency_of(
@@ -81,4 +85,4 @@ def adjacency_of(
 ) -> DataFrame:
     """The same for the nodes in ``wanted`` only, without a stored table."""
     ends = endpoints(edges, *EDGE).join(wanted.select(*NODE).distinct(), NODE, "left_semi")
-    return top_per(ends, NODE, budget_order(), cap)
+    return _first_edges(ends, cap)

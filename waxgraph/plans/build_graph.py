@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from waxgraph import fixed
 from waxgraph.operators import aliases, flatten, integrity, labels as label_ops
 from waxgraph.operators.latest import last_write
-from waxgraph.sources import graph_tables, xml_dumps
+from waxgraph.sources import graph_tables, release_store, xml_dumps
 
 
 @dataclass(frozen=True)
@@ -24,43 +24,56 @@ class Dumps:
 
 @dataclass(frozen=True)
 class BuildReport:
-    bad_edges: int
+    scanned_releases: int
+    wanted_releases: int
     missing_releases: int
     rejected_records: int
+    bad_edges: int
 
 
-def _read(spark: SparkSession, path: str, tag: str, partitions: int | None) -> DataFrame:
-    # Labels nest in labels, so only the row-tag reader finds their records.
-    if tag == "label":
-        return xml_dumps.read_records(spark, path, tag)
-    return xml_dumps.read_records_spread(spark, path, tag, partitions)
+# A set of ids up to this long is sent to every task (some 80 MB at the most);
+# a longer one is joined by shuffle.
+BROADCAST_IDS = 5_000_000
+
+
+def send_if_short(ids: DataFrame, count: int, limit: int = BROADCAST_IDS) -> DataFrame:
+    return F.broadcast(ids) if count <= limit else ids
 
 
-def land(
-    spark: SparkSession, dumps: Dumps, stage: str, partitions: int | None = None
-) -> dict[str, DataFrame]:
-    """Parse each dump once into Parquet; later steps read only the columns they use.
+def _land(screened: DataFrame, path: str) -> DataFrame:
+    screened.write.mode("errorifexists").parquet(path)
+    return screened.sparkSession.read.parquet(path)
 
-    Returns the screened records by tag.
+
+def land_records(
+    spark: SparkSession, path: str, tag: str, stage: str, partitions: int | None = None
+) -> DataFrame:
+    """Parse a dump once into Parquet; later steps read only the columns they use."""
+    if tag == "label":
+        # Labels nest in labels, so only the row-tag reader finds their records.
+        records = xml_dumps.read_records(spark, path, tag)
+    else:
+        records = xml_dumps.read_records_spread(spark, path, tag, partitions)
+    return _land(xml_dumps.screen(records, tag), f"{stage}/{tag}")
+
+
+def land_releases(
+    spark: SparkSession, path: str, wanted: DataFrame, stage: str
+) -> tuple[DataFrame, int]:
+    """The releases named in ``wanted`` and how many records the dump holds.
+
+    The id is read off the opening tag and only wanted texts go further, so
+    parsing, by far the dearest part, is done for those alone. Of a release given
+    twice the last one is taken; the shuffle that finds it also spreads the texts
+    over the cluster for parsing.
     """
-    landed = {}
-    for tag, path in (
-        ("label", dumps.labels),
-        ("artist", dumps.artists),
-        ("master", dumps.masters),
-        ("release", dumps.releases),
-    ):
-        screened = xml_dumps.screen(_read(spark, path, tag, partitions), tag)
-        screened.write.mode("errorifexists").parquet(f"{stage}/{tag}")
-        landed[tag] = spark.read.parquet(f"{stage}/{tag}")
-    return landed
-
-
-def kept_releases(releases: DataFrame, masters: DataFrame) -> DataFrame:
-    """Main releases of masters; of a release given twice, the last one."""
-    wanted = integrity.wanted_ids(masters)
-    kept = integrity.canonical(releases, wanted)
-    return last_write(kept, ["_id"], [F.col("place")])
+    seen = Observation()
+    texts = xml_dumps.read_texts(spark, path, "release")
+    texts = texts.observe(seen, F.count(F.lit(1)).alias("scanned"))
+    kept = release_store.keyed_texts(texts).join(wanted, "id", "left_semi")
+    last = last_write(kept, ["id"], [F.col("place")]).drop("id")
+    landed = _land(xml_dumps.screen(xml_dumps.parse_texts(last, "release"), "release"), f"{stage}/release")
+    return landed, seen.get["scanned"]
 
 
 def graph_of(
@@ -106,8 +119,16 @@ def build_graph(
     Refuses an output that exists. Raises before any node or edge is written
     when more edges dangle than the tolerance allows.
     """
-    screened = land(spark, dumps, f"{out}/stage", partitions)
-    good = {tag: xml_dumps.accepted(rows) for tag, rows in screened.items()}
+    stage = f"{out}/stage"
+    paths = {"label": dumps.labels, "artist": dumps.artists, "master": dumps.masters}
+    screened = {tag: land_records(spark, path, tag, stage, partitions) for tag, path in paths.items()}
+
+    wanted = _land(integrity.wanted_ids(xml_dumps.accepted(screened["master"])), f"{stage}/wanted")
+    wanted_count = wanted.count()
+    screened["release"], scanned = land_releases(
+        spark, dumps.releases, send_if_short(wanted, wanted_count), stage
+    )
+    missing = integrity.missing_wanted(screened["release"], wanted).count()
 
     rejects = None
     for tag, rows in screened.items():
@@ -115,18 +136,11 @@ def build_graph(
         rejects = part if rejects is None else rejects.unionByName(part)
     rejected_count, _ = graph_tables.write_rejects(rejects, f"{out}/rejects")
 
-    releases = kept_releases(good["release"], good["master"])
-    releases.write.mode("errorifexists").parquet(f"{out}/stage/kept")
-    releases = spark.read.parquet(f"{out}/stage/kept")
-    nodes, edges = graph_of(good["artist"], good["label"], releases)
-
-    edges.write.mode("errorifexists").parquet(f"{out}/stage/edges")
-    flagged = integrity.flag_edges(spark.read.parquet(f"{out}/stage/edges"), nodes)
-    bad = flagged.where("src_missing OR dst_missing")
-    bad.write.mode("errorifexists").parquet(f"{out}/bad_edges")
-    bad_count = integrity.check_tolerance(spark.read.parquet(f"{out}/bad_edges"), tolerance)
+    nodes, edges = graph_of(*(xml_dumps.accepted(screened[tag]) for tag in ("artist", "label", "release")))
+    edges = _land(edges, f"{stage}/edges")
+    flagged = integrity.flag_edges(edges, nodes)
+    bad = _land(flagged.where("src_missing OR dst_missing"), f"{out}/bad_edges")
+    bad_count = integrity.check_tolerance(bad, tolerance)
     checked = flagged.where("NOT src_missing AND NOT dst_missing").drop("src_missing", "dst_missing")
     graph_tables.write_graph(nodes, checked, out)
-
-    missing = integrity.missing_wanted(releases, integrity.wanted_ids(good["master"])).count()
-    return BuildReport(bad_count, missing, rejected_count)
+    return BuildReport(scanned, wanted_count, missing, rejected_count, bad_count)

@@ -164,6 +164,9 @@ kedges AS (
 EVERY_NODE = """
   SELECT kind || ':' || id AS request_id, 1 AS seed_no, space, id, 6 AS lim FROM nodes"""
 
+EVERY_ARTIST = """
+  SELECT kind || ':' || id AS request_id, 1 AS seed_no, space, id, 60 AS lim FROM nodes WHERE kind = 'Artist'"""
+
 SIMPLE = """
 simple AS (
   SELECT * FROM (
@@ -305,7 +308,7 @@ refs AS (
          CASE WHEN regexp_extract(m, '%s', 2) <> '' THEN 'id' ELSE 'text' END AS form,
          CASE WHEN regexp_extract(m, '%s', 2) <> '' THEN regexp_extract(m, '%s', 2)
               ELSE regexp_extract(m, '%s', 3) END AS ref
-  FROM (SELECT space, kind, id, unnest(ms) AS m, unnest(range(len(ms))) AS no FROM (
+  FROM (SELECT space, kind, id, unnest(ms) AS m, CAST(unnest(range(len(ms))) AS INTEGER) AS no FROM (
           SELECT space, kind, id, regexp_extract_all(profile, '%s', 0) AS ms FROM nodes))
 )""" % ((fixed.PROFILE_REF,) * 6)
 
@@ -455,7 +458,7 @@ CONVERSATION_TERMS = f"cleaned AS (SELECT conv_id, turn, {_cleaned('text')} AS t
 def oracles() -> dict[str, str]:
     graph = (NODES, EDGES, ENDS)
     expanded = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_NODE))
-    simple = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_NODE), SIMPLE, SIMPLE_ENDS)
+    simple = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_ARTIST), SIMPLE, SIMPLE_ENDS)
     ranked = lambda limit: _with(
         *graph, DEGREES, _driver_searches(limit), *_scoring(OWN_TOKENS), *RANKED
     )
@@ -464,7 +467,7 @@ def oracles() -> dict[str, str]:
         *_walk(FOUND_SEEDS),
     )
     node_rows = f"""
-SELECT f.request_id, f.position, n.kind, f.id, {EMPTY_TEXTS} AS title, coalesce(w.degree, 0) AS degree,
+SELECT f.request_id, CAST(f.position AS INTEGER) AS position, n.kind, f.id, {EMPTY_TEXTS} AS title, coalesce(w.degree, 0) AS degree,
        f.hop = 1 AS expanded{{more}}
 FROM kept f JOIN nodes n USING (space, id) LEFT JOIN wdegree w USING (request_id, space, id)"""
     edge_rows = "SELECT request_id, type, src, dst, ordinal FROM kedges"
@@ -500,7 +503,7 @@ UNION ALL SELECT 'ratios', 'members per group',
         + "SELECT kind, id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degrees USING (space, id)",
         "hubs_topk": _with(*graph, DEGREES)
         + f"""
-SELECT kind, position, id, title, degree FROM (
+SELECT kind, CAST(position AS INTEGER) AS position, id, title, degree FROM (
   SELECT kind, id, {EMPTY_TEXTS} AS title, coalesce(degree, 0) AS degree,
          row_number() OVER (PARTITION BY kind ORDER BY coalesce(degree, 0) DESC, id_num) AS position
   FROM nodes LEFT JOIN degrees USING (space, id)) WHERE position <= 10""",
@@ -553,7 +556,7 @@ SELECT CASE WHEN o_orderstatus IN ('F', 'P') THEN 'Group' ELSE 'Artist' END AS k
        CASE WHEN o_orderstatus NOT IN ('F', 'P') THEN o_orderstatus END AS realname
 FROM orders""",
         "member_links": """
-SELECT 'MEMBER_OF' AS type, CAST(o_custkey + k AS VARCHAR) AS src, CAST(o_orderkey AS VARCHAR) AS dst, k AS ordinal
+SELECT 'MEMBER_OF' AS type, CAST(o_custkey + k AS VARCHAR) AS src, CAST(o_orderkey AS VARCHAR) AS dst, CAST(k AS BIGINT) AS ordinal
 FROM orders, (SELECT unnest([0, 1]) AS k) WHERE o_orderstatus = 'F'""",
         "alias_links": """
 SELECT CAST(o_orderkey AS VARCHAR) AS self, CAST(o_custkey AS VARCHAR) AS alias, 1 AS item_no
@@ -630,7 +633,7 @@ SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR), 'new' FROM matched WHERE ok AND b
         + """SELECT kind AS type, id, coalesce(name, title) AS name,
        lower(substring(coalesce(name, title), 1, 2)) AS prefix FROM nodes""",
         "neighbours_budget": _with(*graph, TYPES, ADJACENCY)
-        + """SELECT n.kind || ':' || n.id AS request_id, a.rk, a.type, a.src, a.dst, a.ordinal
+        + """SELECT n.kind || ':' || n.id AS request_id, CAST(a.rk AS INTEGER) AS rk, a.type, a.src, a.dst, a.ordinal
 FROM nodes n LEFT JOIN adjacency a ON n.space = a.space AND n.id = a.id AND a.rk <= 60""",
         "expand_two_hop_nodes": expanded
         + node_rows.format(
@@ -663,7 +666,7 @@ WHERE s.type = 'CREDITED' GROUP BY request_id, s.dst""",
         "clean_terms": _with(CONVERSATION_TERMS) + "SELECT conv_id, turn, term FROM cleaned",
         "query_terms": _with(CONVERSATION_TERMS)
         + f"""
-SELECT conv_id, turn, unnest(range(len(ts))) AS no, unnest(ts) AS term FROM (
+SELECT conv_id, turn, CAST(unnest(range(len(ts))) AS INTEGER) AS no, unnest(ts) AS term FROM (
   SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(term), '{SPACE}+'), lambda x: x <> '') AS ts
   FROM cleaned)""",
         "clamp_limits": _with(RAW_LIMITS)
@@ -675,9 +678,9 @@ SELECT conv_id, turn, unnest(range(len(ts))) AS no, unnest(ts) AS term FROM (
 JOIN (SELECT space, id, count(*) AS len FROM doc_tokens GROUP BY ALL) USING (space, id) GROUP BY kind, id, token, len""",
         "search_scores": _with(NODES, _driver_searches(10), *_scoring(OWN_TOKENS))
         + "SELECT query_id, kind, id, score FROM pool",
-        "search_rank": ranked(60) + "SELECT query_id, position, kind, id, score, degree FROM ranked",
+        "search_rank": ranked(60) + "SELECT query_id, CAST(position AS INTEGER) AS position, kind, id, score, degree FROM ranked",
         "suggest": ranked(10)
-        + """SELECT query_id, position, kind, id, title, year, profile,
+        + """SELECT query_id, CAST(position AS INTEGER) AS position, kind, id, title, year, profile,
        array_to_string(artists, ', ') AS artists, array_to_string(labels, ', ') AS labels,
        CASE WHEN kind = 'Release' THEN coalesce(nullif(concat_ws(' · ', nullif(array_to_string(artists, ', '), ''),
               nullif(array_to_string(labels, ', '), ''), nullif(year, '')), ''), kind)
@@ -688,7 +691,7 @@ FROM tied WHERE space = 'release'""",
         "search_graph": searched + node_rows.format(more=""),
         "search_graph_edges": searched + edge_rows,
         "search_denormalized": _with(NODES, EDGES, _driver_searches(60), *_scoring(WIDE_TOKENS))
-        + "SELECT query_id, nth AS position, kind, id, score FROM pool",
+        + "SELECT query_id, CAST(nth AS INTEGER) AS position, kind, id, score FROM pool",
         "profile_refs": _with(NODES, REFS) + "SELECT kind, id, no, letter, form, ref FROM refs",
         "ref_usage": _with(NODES, REFS) + "SELECT letter, form, count(*) AS n FROM refs GROUP BY ALL",
         "resolve_refs": _resolving() + "SELECT letter, ref, method, target_kind, target_id FROM resolved",
@@ -704,7 +707,7 @@ WHERE s.method IS NOT NULL GROUP BY ALL""",
         + f"""SELECT kind, id, '{SITE}/' || CASE kind WHEN 'Label' THEN 'label' WHEN 'Release' THEN 'release'
   ELSE 'artist' END || '/' || id AS link FROM nodes""",
         "page_links": f"""
-SELECT page_id, unnest(range(len(hs))) AS no, unnest(hs) AS href FROM (
+SELECT page_id, CAST(unnest(range(len(hs))) AS INTEGER) AS no, unnest(hs) AS href FROM (
   SELECT page_id, regexp_extract_all(html, '{fixed.HREF}', 1) AS hs FROM pages)""",
         "step_latest": _with(LATEST) + 'SELECT n, "of", name, state, elapsed, ts FROM latest',
         "build_progress": _with(LATEST)

@@ -34,6 +34,7 @@ REGISTRY: dict[str, Query] = {}
 
 SITE = "https://catalogue.example"
 EXPAND_LIMIT = 6
+VIEW_LIMIT = 60
 NEIGHBOUR_LIMIT = 60
 SEARCH_LIMIT = 60
 SUGGEST_LIMIT = 10
@@ -510,7 +511,11 @@ def expand_two_hop_edges(spark, sf):
 
 
 def _simple(spark, sf) -> tuple[DataFrame, DataFrame]:
-    nodes, walked = _expanded(spark, sf)
+    """(nodes, simple edges) around every artist, wide enough for parallel credits."""
+    nodes = G.nodes(spark, sf)
+    adjacency = settle(adj.adjacency(G.edges(spark, sf)))
+    artists = nodes.where("kind = 'Artist'")
+    walked = settle(expand.walk(expand.seeds(_requests(artists, VIEW_LIMIT)), adjacency))
     return nodes, subgraph.simple_edges(expand.result_edges(walked))
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waxgraph import fixed, schemas
 from waxgraph.functions import text as X
 from waxgraph.operators.flatten import edge_row, node_row
 
-CSV_WRITE = {"header": "true", "quoteAll": "true", "escape": '"', "lineSep": "\r\n"}
-CSV_READ = {"header": "true", "multiLine": "true", "escape": '"'}
+LINE_END = "\r\n"
+# White space at the ends of a text belongs to the text.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_WRITE = {"header": "true", "escape": '"', "lineSep": LINE_END, **KEEP_SPACE}
+CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', **KEEP_SPACE}
 
 
 class MissingInput(FileNotFoundError):
@@ -30,8 +33,24 @@ def read_graph(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(*schemas.NODES.names), edges.select(*schemas.EDGES.names)
 
 
-def _write_csv(df: DataFrame, path: str, **options: str) -> None:
-    df.write.mode("errorifexists").options(**{**CSV_WRITE, **options}).csv(path)
+def _write_quoted(df: DataFrame, path: str) -> None:
+    """CSV in which every text is quoted and a null is not, so that an empty text
+    and no text stay apart. Every part file starts with the header.
+
+    The CSV writer can quote all values or few, but not all except nulls, so the
+    lines are put together here. The low 33 bits of the row id count the rows of
+    a task, and a task writes one file.
+    """
+
+    def quoted(text: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    fields = [F.coalesce(quoted(F.col(f"`{name}`")), F.lit("")) for name in df.columns]
+    header = ",".join(f'"{name}"' for name in df.columns) + LINE_END
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    line = F.concat(F.when(first, header).otherwise(""), F.concat_ws(",", *fields))
+    lines = df.select(line.alias("value"))
+    lines.write.mode("errorifexists").option("lineSep", LINE_END).text(path)
 
 
 def write_node_csv(kind: str, rows: DataFrame, out: str) -> None:
@@ -42,13 +61,13 @@ def write_node_csv(kind: str, rows: DataFrame, out: str) -> None:
     """
     folder, header = fixed.NODE_FILES[kind]
     columns = [F.col(rows.columns[0])] + [X.csv_text(F.col(name)) for name in rows.columns[1:]]
-    _write_csv(rows.select(*columns).toDF(*header), f"{out}/{folder}")
+    _write_quoted(rows.select(*columns).toDF(*header), f"{out}/{folder}")
 
 
 def write_edge_csv(edge_type: str, edges: DataFrame, out: str) -> None:
     folder, header = fixed.EDGE_FILES[edge_type]
     rows = edges.where(F.col("type") == edge_type).select("src", "dst")
-    _write_csv(rows.toDF(*header), f"{out}/{folder}")
+    _write_quoted(rows.toDF(*header), f"{out}/{folder}")
 
 
 def write_csv_set(nodes: DataFrame, edges: DataFrame, out: str) -> None:
@@ -64,7 +83,7 @@ def write_csv_set(nodes: DataFrame, edges: DataFrame, out: str) -> None:
 def write_labels_csv(labels: DataFrame, out: str) -> None:
     """The merged label table on its own: (id, name, profile)."""
     folder, header = fixed.NODE_FILES["Label"]
-    _write_csv(labels.select("id", "name", "profile").toDF(*header), f"{out}/{folder}")
+    _write_quoted(labels.select("id", "name", "profile").toDF(*header), f"{out}/{folder}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -121,9 +140,8 @@ def skipped_names(nodes: DataFrame) -> DataFrame:
 def write_search_export(
     nodes: DataFrame, out: str, kinds: Sequence[str] = fixed.KINDS, gzip: bool = False
 ) -> None:
-    rows = search_export(nodes, kinds)
-    compression = "gzip" if gzip else "none"
-    _write_csv(rows, out, quoteAll="false", compression=compression)
+    options = {**CSV_WRITE, "compression": "gzip" if gzip else "none"}
+    search_export(nodes, kinds).write.mode("errorifexists").options(**options).csv(out)
 
 
 def name_shards(exported: DataFrame, width: int = 2) -> DataFrame:
