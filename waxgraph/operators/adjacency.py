@@ -8,7 +8,9 @@ from waxgraph import fixed
 from waxgraph.functions import text as X
 from waxgraph.operators.latest import top_per
 
-NODE = ["space", "id"]
+# The id comes first: sorts compare their first key before all others, and only a
+# handful of spaces exist.
+NODE = ["id", "space"]
 EDGE = ["type", "src", "dst", "ordinal"]
 
 

@@ -41,7 +41,7 @@ def flag_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     flagged = edges
     for name in ("src", "dst"):
-        flagged = flagged.join(side(name), [f"{name}_space", name], "left")
+        flagged = flagged.join(side(name), [name, f"{name}_space"], "left")
         flagged = flagged.withColumn(f"{name}_missing", F.col(f"{name}_missing").isNotNull())
     return flagged
 

@@ -78,7 +78,7 @@ def by_id(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     numbers = refs.where(is_number(F.col("ref")))
     known = nodes.groupBy("space", "id").agg(F.min("kind").alias("kind"))
     joined = numbers.join(
-        known.select("space", F.col("id").alias("ref"), "kind"), ["space", "ref"]
+        known.select("space", F.col("id").alias("ref"), "kind"), ["ref", "space"]
     )
     return joined.select("letter", "ref", _found(F.col("kind"), F.col("ref")).alias("target"))
 
@@ -92,11 +92,11 @@ def by_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = F.when(F.col("space") == "release", F.col("title")).otherwise(F.col("name"))
     named = nodes.select("space", "kind", "id", "id_num", F.lower(own).alias("folded"))
     named = named.where(F.col("folded").isNotNull())
-    named = named.join(texts.select("space", "folded").distinct(), ["space", "folded"], "left_semi")
+    named = named.join(texts.select("folded", "space").distinct(), ["folded", "space"], "left_semi")
     first = named.groupBy("space", "folded").agg(
         F.min(F.struct("kind", "id_num", "id")).alias("first")
     )
-    joined = texts.join(first, ["space", "folded"])
+    joined = texts.join(first, ["folded", "space"])
     return joined.select("letter", "ref", _found(F.col("first.kind"), F.col("first.id")).alias("target"))
 
 
@@ -112,7 +112,7 @@ def by_rank(
         ranked.select(F.col("query_id").alias("ref"), "space", "kind", "id", "position"),
         ["ref", "space"],
     )
-    best = top_per(hits, ["letter", "ref"], [F.col("position").asc()], 1)
+    best = top_per(hits, ["ref", "letter"], [F.col("position").asc()], 1)
     return best.select("letter", "ref", _found(F.col("kind"), F.col("id")).alias("target"))
 
 
@@ -126,10 +126,10 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, index: search.I
     numbers = by_id(keys, nodes).withColumn("method", F.lit("id"))
     names = by_name(keys, nodes).withColumn("method", F.lit("name"))
     texts = keys.where(~is_number(F.col("ref")))
-    left = texts.join(names.select("letter", "ref"), ["letter", "ref"], "left_anti")
+    left = texts.join(names.select("letter", "ref"), ["ref", "letter"], "left_anti")
     ranks = by_rank(left, nodes, edges, index).withColumn("method", F.lit("rank"))
     found = numbers.unionByName(names).unionByName(ranks)
-    joined = keys.join(found, ["letter", "ref"], "left")
+    joined = keys.join(found, ["ref", "letter"], "left")
     return joined.select(
         "letter",
         "ref",
@@ -144,7 +144,7 @@ def mentions(refs: DataFrame, resolved: DataFrame) -> DataFrame:
     keyed = refs.select("kind", "id", "letter", ref_key(F.col("ref")).alias("ref"))
     counted = keyed.groupBy("kind", "id", "letter", "ref").agg(F.count(F.lit(1)).alias("times"))
     found = resolved.where(F.col("method").isNotNull())
-    joined = counted.join(found, ["letter", "ref"])
+    joined = counted.join(found, ["ref", "letter"])
     return joined.groupBy("kind", "id", "target_kind", "target_id").agg(
         F.sum("times").alias("times")
     )

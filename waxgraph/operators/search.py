@@ -147,7 +147,7 @@ def neighbour_names(
     )
     across = across.join(wanted.select(*NODE).distinct(), NODE, "left_semi").distinct()
     named = nodes.select(F.col("space").alias("far_space"), F.col("id").alias("far_id"), "name")
-    names = across.join(named.where(F.col("name").isNotNull()), ["far_space", "far_id"])
+    names = across.join(named.where(F.col("name").isNotNull()), ["far_id", "far_space"])
     first = top_per(names.select(*NODE, "name").distinct(), NODE, [F.col("name").asc()], most)
     return first.groupBy(*NODE).agg(F.sort_array(F.collect_list("name")).alias("names"))
 
@@ -278,7 +278,7 @@ def tied_pieces(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.col(near).alias("id"), F.col(f"{far}_space").alias("far_space"), F.col(far).alias("far_id")
         )
         named = nodes.select(F.col("space").alias("far_space"), F.col("id").alias("far_id"), "name")
-        joined = pairs.distinct().join(named.where(F.col("name").isNotNull()), ["far_space", "far_id"])
+        joined = pairs.distinct().join(named.where(F.col("name").isNotNull()), ["far_id", "far_space"])
         return joined.select(F.lit("release").alias("space"), "id", "name").distinct()
 
     return names("CREDITED", "dst", "src").unionByName(names("RELEASED_ON", "src", "dst"))

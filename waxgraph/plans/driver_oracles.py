@@ -161,11 +161,15 @@ kedges AS (
     ]
 
 
-EVERY_NODE = """
-  SELECT kind || ':' || id AS request_id, 1 AS seed_no, space, id, 6 AS lim FROM nodes"""
+REQUEST_ID = """
+  CAST(CASE kind WHEN 'Artist' THEN 0 WHEN 'Group' THEN 1 WHEN 'Label' THEN 2 ELSE 3 END AS BIGINT)
+  * 288230376151711744 + id_num"""
 
-EVERY_ARTIST = """
-  SELECT kind || ':' || id AS request_id, 1 AS seed_no, space, id, 60 AS lim FROM nodes WHERE kind = 'Artist'"""
+EVERY_NODE = f"""
+  SELECT {REQUEST_ID} AS request_id, 1 AS seed_no, space, id, 6 AS lim FROM nodes"""
+
+EVERY_ARTIST = f"""
+  SELECT {REQUEST_ID} AS request_id, 1 AS seed_no, space, id, 60 AS lim FROM nodes WHERE kind = 'Artist'"""
 
 SIMPLE = """
 simple AS (
@@ -633,7 +637,7 @@ SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR), 'new' FROM matched WHERE ok AND b
         + """SELECT kind AS type, id, coalesce(name, title) AS name,
        lower(substring(coalesce(name, title), 1, 2)) AS prefix FROM nodes""",
         "neighbours_budget": _with(*graph, TYPES, ADJACENCY)
-        + """SELECT n.kind || ':' || n.id AS request_id, CAST(a.rk AS INTEGER) AS rk, a.type, a.src, a.dst, a.ordinal
+        + f"""SELECT {REQUEST_ID} AS request_id, CAST(a.rk AS INTEGER) AS rk, a.type, a.src, a.dst, a.ordinal
 FROM nodes n LEFT JOIN adjacency a ON n.space = a.space AND n.id = a.id AND a.rk <= 60""",
         "expand_two_hop_nodes": expanded
         + node_rows.format(
@@ -658,10 +662,10 @@ WHERE s.type = 'CREDITED' GROUP BY request_id, s.dst""",
         "accumulated_sizes": expanded
         + f"""SELECT session, space, id, degree, {SIZE} AS size FROM (
   SELECT session, space, id, count(*) AS degree FROM (
-    SELECT DISTINCT split_part(request_id, ':', 1) AS session, src_space AS space, src AS id,
+    SELECT DISTINCT request_id // 288230376151711744 AS session, src_space AS space, src AS id,
            dst_space AS other_space, dst AS other FROM kedges WHERE NOT (src_space = dst_space AND src = dst)
     UNION
-    SELECT DISTINCT split_part(request_id, ':', 1), dst_space, dst, src_space, src FROM kedges
+    SELECT DISTINCT request_id // 288230376151711744, dst_space, dst, src_space, src FROM kedges
     WHERE NOT (src_space = dst_space AND src = dst)) GROUP BY ALL)""",
         "clean_terms": _with(CONVERSATION_TERMS) + "SELECT conv_id, turn, term FROM cleaned",
         "query_terms": _with(CONVERSATION_TERMS)

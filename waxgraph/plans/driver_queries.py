@@ -477,10 +477,9 @@ def name_shards(spark, sf):
 
 
 def _requests(nodes: DataFrame, limit: int) -> DataFrame:
-    """One request per node."""
-    return nodes.select(
-        F.concat_ws(":", "kind", "id").alias("request_id"), "kind", "id", F.lit(limit).alias("limit")
-    )
+    """One request per node; the number of a request tells kind and id."""
+    number = search.doc_key(F.col("kind"), F.col("id_num"))
+    return nodes.select(number.alias("request_id"), "kind", "id", F.lit(limit).alias("limit"))
 
 
 def _expanded(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -548,7 +547,7 @@ def accumulated_sizes(spark, sf):
     """All expansions of one kind of seed land in one session, one after another."""
     _, walked = _expanded(spark, sf)
     edges = expand.result_edges(walked)
-    session = F.split_part("request_id", F.lit(":"), F.lit(1))
+    session = F.shiftright("request_id", search.ID_BITS)
     landed = edges.select(
         session.alias("session"), F.struct("request_id", "arrival").alias("landed"), *subgraph.SIMPLE
     )

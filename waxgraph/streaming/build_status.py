@@ -24,10 +24,10 @@ def watch(
     """
 
     def write(steps: DataFrame, batch: int) -> None:
-        kept = steps.persist()
-        kept.write.mode("overwrite").json(f"{out}/steps/batch={batch}")
-        summary(kept).write.mode("overwrite").json(f"{out}/summary/batch={batch}")
-        kept.unpersist()
+        path = f"{out}/steps/batch={batch}"
+        steps.write.mode("overwrite").json(path)
+        written = steps.sparkSession.read.schema(steps.schema).json(path)
+        summary(written).write.mode("overwrite").json(f"{out}/summary/batch={batch}")
 
     writer = live_steps(spark, folder).writeStream.outputMode("complete")
     writer = writer.option("checkpointLocation", checkpoint).foreachBatch(write)
