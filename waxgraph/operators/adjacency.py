@@ -86,5 +86,5 @@ def adjacency_of(
     edges: DataFrame, wanted: DataFrame, cap: int = fixed.LIMIT_MAX
 ) -> DataFrame:
     """The same for the nodes in ``wanted`` only, without a stored table."""
-    ends = endpoints(edges, *EDGE).join(wanted.select(*NODE).distinct(), NODE, "left_semi")
+    ends = endpoints(edges, *EDGE).join(wanted.select(*NODE), NODE, "left_semi")
     return _first_edges(ends, cap)

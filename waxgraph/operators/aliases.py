@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waxgraph.functions import text as X
 from waxgraph.operators.flatten import edge_row
+from waxgraph.session import settle
 
 
 def ordered(first: Column, second: Column) -> tuple[Column, Column]:
@@ -29,13 +30,16 @@ def alias_edges(found: DataFrame) -> DataFrame:
 
 
 def resolve(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add ``matched``: whether both ids of the pair have a node."""
-    known = nodes.where(F.col("space") == "entity").select("id").distinct()
-    left = known.select(F.col("id").alias("a"), F.lit(True).alias("has_a"))
-    right = known.select(F.col("id").alias("b"), F.lit(True).alias("has_b"))
-    joined = found.join(left, "a", "left").join(right, "b", "left")
-    matched = F.col("has_a").isNotNull() & F.col("has_b").isNotNull()
-    return joined.withColumn("matched", matched).drop("has_a", "has_b")
+    """Add ``matched``: whether both ids of the pair have a node.
+
+    The rest is found by the pair as a whole, which no id can make hot.
+    """
+    found = settle(found)
+    known = nodes.where(F.col("space") == "entity").select("id")
+    both = found.join(known.withColumnRenamed("id", "a"), "a", "left_semi")
+    both = settle(both.join(known.withColumnRenamed("id", "b"), "b", "left_semi").select(*found.columns))
+    rest = found.join(both, ["a", "b"], "left_anti").select(*found.columns)
+    return both.withColumn("matched", F.lit(True)).unionByName(rest.withColumn("matched", F.lit(False)))
 
 
 def missing_from(found: DataFrame, edges: DataFrame) -> DataFrame:

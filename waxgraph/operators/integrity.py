@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from waxgraph import fixed
 from waxgraph.operators.adjacency import NODE, endpoints
+from waxgraph.session import settle
 
 
 class TooManyBadEdges(ValueError):
@@ -27,10 +28,11 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def flag_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with ``src_missing`` and ``dst_missing``.
 
-    The edges meet the short list of missing ids rather than all nodes, which
-    adaptive execution broadcasts as long as it is small.
+    The edges meet the short list of missing ids rather than all nodes. It serves
+    both ends, so it is written once; as a plain table it is broadcast while it
+    is small, and past that the join can be split where an id is hot.
     """
-    missing = missing_endpoints(edges, nodes)
+    missing = settle(missing_endpoints(edges, nodes))
 
     def side(name: str) -> DataFrame:
         return missing.select(
@@ -71,15 +73,13 @@ def repeated_ids(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def repeat_positions(rows: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """(*keys, position) of every repeat of a key, its first row left out.
 
-    One row per repeat instead of a list per key: a key on a third of all rows
-    never has to fit into one value.
+    One row per repeat instead of a list per key, and taken as all rows but the
+    first ones: that is a join on key and position together, so a key on a third
+    of all rows is spread like any other.
     """
-    first = rows.groupBy(*keys).agg(
-        F.min(position).alias("first_position"), F.count(F.lit(1)).alias("times")
-    )
-    repeated = first.where("times > 1").drop("times")
-    joined = rows.select(*keys, position).join(repeated, list(keys))
-    return joined.where(F.col(position) > F.col("first_position")).drop("first_position")
+    listed = rows.select(*keys, position)
+    first = listed.groupBy(*keys).agg(F.min(position).alias(position))
+    return listed.join(first, [position, *keys], "left_anti").select(*keys, position)
 
 
 def repeat_counts(tables: DataFrame, table: str = "table", key: str = "id") -> DataFrame:
@@ -101,14 +101,19 @@ def node_repeats(nodes: DataFrame) -> DataFrame:
     return repeat_counts(keyed)
 
 
+def main_releases(masters: DataFrame) -> DataFrame:
+    """(id) the main release of every master that names one."""
+    number = F.col("main_release").try_cast("bigint")
+    return masters.select(number.alias("id")).where(F.col("id").isNotNull())
+
+
 def wanted_ids(masters: DataFrame) -> DataFrame:
     """(id) every distinct main release named by a master."""
-    number = F.col("main_release").try_cast("bigint")
-    return masters.select(number.alias("id")).where(F.col("id").isNotNull()).distinct()
+    return main_releases(masters).distinct()
 
 
 def canonical(releases: DataFrame, wanted: DataFrame, id_: str | Column = "_id") -> DataFrame:
-    """Releases that are the main release of some master."""
+    """Releases whose id is in ``wanted``, which may hold an id more than once."""
     number = (F.col(id_) if isinstance(id_, str) else id_).try_cast("bigint")
     return releases.withColumn("wanted_id", number).join(
         wanted.select(F.col("id").alias("wanted_id")), "wanted_id", "left_semi"
@@ -118,4 +123,4 @@ def canonical(releases: DataFrame, wanted: DataFrame, id_: str | Column = "_id")
 def missing_wanted(releases: DataFrame, wanted: DataFrame, id_: str | Column = "_id") -> DataFrame:
     """Wanted ids no release has."""
     number = (F.col(id_) if isinstance(id_, str) else id_).try_cast("bigint")
-    return wanted.join(releases.select(number.alias("id")), "id", "left_anti")
+    return wanted.join(releases.select(number.alias("id")).distinct(), "id", "left_anti")

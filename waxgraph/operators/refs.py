@@ -92,7 +92,7 @@ def by_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     own = F.when(F.col("space") == "release", F.col("title")).otherwise(F.col("name"))
     named = nodes.select("space", "kind", "id", "id_num", F.lower(own).alias("folded"))
     named = named.where(F.col("folded").isNotNull())
-    named = named.join(texts.select("folded", "space").distinct(), ["folded", "space"], "left_semi")
+    named = named.join(texts.select("folded", "space"), ["folded", "space"], "left_semi")
     first = named.groupBy("space", "folded").agg(
         F.min(F.struct("kind", "id_num", "id")).alias("first")
     )

@@ -87,27 +87,38 @@ def prepare(queries: DataFrame, term_width: int = fixed.TERM_MAX) -> DataFrame:
     return cleaned.where("term <> ''")
 
 
+def _weighted_tokens(queries: DataFrame, counts: DataFrame, total: Column) -> DataFrame:
+    """(query_id, token, weight): how often a query holds a token times its idf.
+
+    ``counts`` (token, df) was summed up before any shuffle, and the result is a
+    few rows per query in a table of its own: postings of a token that is on a
+    third of all texts meet it by broadcast, or by a join that can be split.
+    """
+    asked = queries.select("query_id", F.explode(X.tokens(F.col("term"))).alias("token"))
+    asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = (F.col("times") * idf).alias("weight")
+    return settle(asked.join(counts, "token").select("query_id", "token", weight))
+
+
+def _part_score(mean: Column) -> Column:
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
+    return F.col("weight") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
+
+
 def text_scores(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, text, score, doc_key): BM25 of every text with any query token.
 
     A token repeated in the query counts as often as it stands there.
     """
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("term"))).alias("token"))
-    asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    hits = index.postings().join(asked.select("token").distinct(), "token", "left_semi")
-    found_in = hits.groupBy("token").agg(F.sum("documents").alias("df"))
-    # Two numbers about the whole collection, as scalar subqueries.
+    postings = index.postings()
+    counts = postings.groupBy("token").agg(F.sum("documents").alias("df"))
     total = index.texts.agg(F.sum("documents")).scalar()
     mean = index.texts.agg(F.sum(F.col("length") * F.col("documents")) / F.sum("documents")).scalar()
-    df, tf = F.col("df"), F.col("tf")
-    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
-    part = F.col("times") * idf * tf * (fixed.BM25_K1 + 1) / (tf + norm)
-    weighted = asked.join(found_in, "token")
-    scored = hits.join(weighted, "token").groupBy("query_id", "text").agg(
+    part = _part_score(mean)
+    return postings.join(_weighted_tokens(queries, counts, total), "token").groupBy("query_id", "text").agg(
         F.round(F.sum(part), SCORE_DIGITS).alias("score"), F.min("doc_key").alias("doc_key")
     )
-    return scored
 
 
 def pool(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
@@ -122,8 +133,9 @@ def pool(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
         ["query_id"],
         [F.col("score").desc(), F.col("doc_key").asc()],
         size,
-    ).select("query_id", "text", "score")
-    members = index.documents.join(best.select("text").distinct(), "text", "left_semi")
+    )
+    best = settle(best.select("query_id", "text", "score"))
+    members = index.documents.join(best.select("text"), "text", "left_semi")
     members = top_per(members, ["text"], [F.col("doc_key").asc(), F.col("id").asc()], size).drop("rk")
     order = [F.col("score").desc(), F.col("doc_key").asc(), F.col("id").asc()]
     return top_per(best.join(members, "text"), ["query_id"], order, size).select(
@@ -145,7 +157,7 @@ def neighbour_names(
         F.col(f"{far}_space").alias("far_space"),
         F.col(far).alias("far_id"),
     )
-    across = across.join(wanted.select(*NODE).distinct(), NODE, "left_semi").distinct()
+    across = across.join(wanted.select(*NODE), NODE, "left_semi").distinct()
     named = nodes.select(F.col("space").alias("far_space"), F.col("id").alias("far_id"), "name")
     names = across.join(named.where(F.col("name").isNotNull()), ["far_id", "far_space"])
     first = top_per(names.select(*NODE, "name").distinct(), NODE, [F.col("name").asc()], most)
@@ -195,7 +207,7 @@ def rank(
     # At most ``pool_size`` rows per query, and everything below starts from them.
     candidates = settle(pool(queries, index, pool_size))
     distinct = candidates.select(*NODE).distinct()
-    touching = endpoints(edges).select(*NODE).join(distinct, NODE, "left_semi")
+    touching = endpoints(edges).select(*NODE).join(candidates.select(*NODE), NODE, "left_semi")
     degree = touching.groupBy(*NODE).agg(F.count(F.lit(1)).alias("degree"))
     shown = nodes.select(
         *NODE,
@@ -203,7 +215,7 @@ def rank(
         F.coalesce("year", F.lit("")).alias("year"),
         F.substring(F.coalesce("profile", F.lit("")), 1, fixed.PREVIEW_SUGGEST).alias("profile"),
     )
-    ties = tied_names(distinct, nodes, edges)
+    ties = tied_names(candidates, nodes, edges)
     facts = distinct.join(shown, NODE).join(ties, NODE).join(degree, NODE, "left")
     joined = candidates.join(facts, NODE).join(queries.select("query_id", "term", "limit"), "query_id")
     total = F.col("score") + boost(
@@ -293,28 +305,23 @@ def widened_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = nodes.select(*NODE, X.node_text().alias("piece"))
     texts = own.unionByName(tied_pieces(nodes, edges).withColumnRenamed("name", "piece"))
     spread = texts.select(*NODE, F.explode(X.tokens(F.col("piece"))).alias("token"))
-    counted = spread.groupBy(*NODE, "token").agg(F.count(F.lit(1)).alias("tf"))
+    counted = settle(spread.groupBy(*NODE, "token").agg(F.count(F.lit(1)).alias("tf")))
     lengths = counted.groupBy(*NODE).agg(F.sum("tf").alias("length"))
     keys = nodes.select(*NODE, "kind", "id_num", doc_key(F.col("kind"), F.col("id_num")).alias("doc_key"))
-    return counted.join(lengths, NODE).join(keys, NODE)
+    # One row per node, as a table of its own, so that the join with the token
+    # rows of a node with very many of them can be split.
+    return counted.join(settle(keys.join(lengths, NODE)), NODE)
 
 
 def widened_pool(queries: DataFrame, wide: DataFrame, size: int = fixed.POOL) -> DataFrame:
     """The best ``size`` nodes per query by BM25 over the wider text."""
-    asked = queries.select("query_id", F.explode(X.tokens(F.col("term"))).alias("token"))
-    asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    hits = wide.join(asked.select("token").distinct(), "token", "left_semi")
-    found_in = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    counts = wide.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lengths = wide.select(*NODE, "length").distinct()
     total = lengths.agg(F.count(F.lit(1))).scalar()
     mean = lengths.agg(F.avg("length")).scalar()
-    df, tf = F.col("df"), F.col("tf")
-    idf = F.log(1 + (total - df + 0.5) / (df + 0.5))
-    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
-    part = F.col("times") * idf * tf * (fixed.BM25_K1 + 1) / (tf + norm)
-    scored = hits.join(asked.join(found_in, "token"), "token")
+    scored = wide.join(_weighted_tokens(queries, counts, total), "token")
     scored = scored.groupBy("query_id", "kind", *NODE, "id_num", "doc_key").agg(
-        F.round(F.sum(part), SCORE_DIGITS).alias("score")
+        F.round(F.sum(_part_score(mean)), SCORE_DIGITS).alias("score")
     )
     order = [F.col("score").desc(), F.col("doc_key").asc(), F.col("id").asc()]
     return top_per(scored, ["query_id"], order, size).select(

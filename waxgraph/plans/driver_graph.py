@@ -7,7 +7,10 @@ equal join or from one row, so the graph grows linearly with the tables.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from waxgraph.operators.flatten import all_nodes, edge_row, node_row
 
@@ -16,8 +19,15 @@ NATION_OFFSET = 100
 ALIAS_STEPS = (1, 10)
 
 
+@lru_cache(maxsize=None)
+def _schema(path: str) -> StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. The footer is read for the schema once, not at every use."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _text(column: Column | str) -> Column:

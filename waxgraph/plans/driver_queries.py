@@ -161,7 +161,7 @@ def wanted_count(spark, sf):
 @query
 def canonical_releases(spark, sf):
     releases = G.table(spark, sf, "part").select(_text("p_partkey").alias("_id"), F.col("p_name").alias("title"))
-    return integrity.canonical(releases, integrity.wanted_ids(_masters(spark, sf)))
+    return integrity.canonical(releases, integrity.main_releases(_masters(spark, sf)))
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,17 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=None)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="waxgraph-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
     Only a session without any, as in a test, gets a local one.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="waxgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
 
 
 def settle(df: DataFrame) -> DataFrame:
