@@ -113,10 +113,12 @@ def text_scores(queries: DataFrame, index: Index) -> DataFrame:
     """
     postings = index.postings()
     counts = postings.groupBy("token").agg(F.sum("documents").alias("df"))
-    total = index.texts.agg(F.sum("documents")).scalar()
-    mean = index.texts.agg(F.sum(F.col("length") * F.col("documents")) / F.sum("documents")).scalar()
-    part = _part_score(mean)
-    return postings.join(_weighted_tokens(queries, counts, total), "token").groupBy("query_id", "text").agg(
+    words = F.sum(F.col("length") * F.col("documents"))
+    whole = F.struct(F.sum("documents").alias("total"), (words / F.sum("documents")).alias("mean"))
+    whole = index.texts.agg(whole).scalar()
+    part = _part_score(whole["mean"])
+    weighted = _weighted_tokens(queries, counts, whole["total"])
+    return postings.join(weighted, "token").groupBy("query_id", "text").agg(
         F.round(F.sum(part), SCORE_DIGITS).alias("score"), F.min("doc_key").alias("doc_key")
     )
 
@@ -317,11 +319,11 @@ def widened_pool(queries: DataFrame, wide: DataFrame, size: int = fixed.POOL) ->
     """The best ``size`` nodes per query by BM25 over the wider text."""
     counts = wide.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lengths = wide.select(*NODE, "length").distinct()
-    total = lengths.agg(F.count(F.lit(1))).scalar()
-    mean = lengths.agg(F.avg("length")).scalar()
-    scored = wide.join(_weighted_tokens(queries, counts, total), "token")
+    whole = F.struct(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
+    whole = lengths.agg(whole).scalar()
+    scored = wide.join(_weighted_tokens(queries, counts, whole["total"]), "token")
     scored = scored.groupBy("query_id", "kind", *NODE, "id_num", "doc_key").agg(
-        F.round(F.sum(_part_score(mean)), SCORE_DIGITS).alias("score")
+        F.round(F.sum(_part_score(whole["mean"])), SCORE_DIGITS).alias("score")
     )
     order = [F.col("score").desc(), F.col("doc_key").asc(), F.col("id").asc()]
     return top_per(scored, ["query_id"], order, size).select(

@@ -10,6 +10,7 @@ from waxgraph import fixed
 from waxgraph.functions import text as X
 from waxgraph.operators.adjacency import unconnected, with_degree
 from waxgraph.operators.latest import top_per
+from waxgraph.session import settle
 
 
 def count_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
@@ -55,7 +56,8 @@ def graph_shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         return listed.unionByName(summed)
 
-    kinds, types = node_counts(nodes), edge_counts(edges)
+    # Nine rows, from one pass over each table; the rest is arithmetic on them.
+    kinds, types = settle(node_counts(nodes)), settle(edge_counts(edges))
 
     def count_of(counts: DataFrame, column: str, value: str) -> Column:
         return counts.agg(F.sum(F.when(F.col(column) == value, F.col("n")))).scalar()
