@@ -229,6 +229,22 @@ def test_csv_text_form(spark, built, tmp_path):
     )
 
 
+def test_labels_table_on_its_own(spark, make, tmp_path):
+    labels = make([("1", "A \"B\"", ""), ("2", "", "two\nlines")], "id string, name string, profile string")
+    graph_tables.write_labels_csv(labels.coalesce(1), str(tmp_path))
+    (part,) = (tmp_path / "labels").glob("part-*")
+    assert part.read_bytes().decode() == (
+        '"labelId:ID(Label)","name","profile"\r\n"1","A ""B""",""\r\n"2","","two\nlines"\r\n'
+    )
+
+
+def test_trimmed_export(spark, built):
+    kept = graph_tables.trimmed_export(built[3], built[4], ["Label", "Artist"], 3)
+    assert rows_of(kept) == [("Artist", "1", "Ann Lee"), ("Artist", "1000", 'Ünïcödé "quoted", with comma')][:1] + [
+        ("Label", "1", "North Road")
+    ]
+
+
 def test_search_export(spark, built, tmp_path):
     nodes = built[3]
     assert rows_of(graph_tables.search_export(nodes, ["Release"])) == [

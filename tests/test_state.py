@@ -9,6 +9,7 @@ from tests import graphs
 from tests.conftest import rows_of
 from waxgraph import fixed
 from waxgraph.operators import integrity, latest, progress, stats
+from waxgraph.plans.report import graph_report
 from waxgraph.sources import graph_tables
 from waxgraph.sources.step_log import read_steps
 from waxgraph.streaming.build_status import live_steps, watch
@@ -65,6 +66,27 @@ def test_report_is_one_table(spark, tmp_path):
     assert {"kind": "Artist", "n": 14} in counts and back.where("section = 'hubs'").count() == 4
 
 
+def test_a_failing_section_costs_only_itself(spark, tmp_path):
+    nodes, edges = graphs.frames(spark, *graphs.random_graph(8))
+    broken = F.when(F.length("title") > 0, F.raise_error(F.lit("no year today")).cast("string"))
+    steps = progress.latest_steps(read_steps(spark, log_file(tmp_path / "log", "a.jsonl", LOG)))
+    report = graph_report(nodes.withColumn("year", broken), edges, steps=steps, deep=True)
+    sections = {}
+    for section, row in report.collect():
+        sections.setdefault(section, []).append(json.loads(row))
+    assert set(sections) == {"shares", "build", "progress", "hubs", "orphans", "errors"}
+    assert sections["errors"][0]["name"] == "decades" and len(sections["errors"]) == 1
+    assert sections["build"][0] == {"n": 1, "name": "one", "state": "done", "elapsed": 7, "time": "7s"}
+
+
+def test_a_short_report_does_not_scan(spark):
+    nodes, edges = graphs.frames(spark, *graphs.random_graph(9))
+    files = spark.createDataFrame([("a.xml.gz", 2048, 7, "20260801")], "file string, bytes long, rows long, dump_date string")
+    rows = graph_report(nodes, edges, files=files).collect()
+    assert {row.section for row in rows} == {"shares", "files"}
+    assert json.loads(next(row.row for row in rows if row.section == "files"))["size"] == "2.0 KiB"
+
+
 def test_the_same_id_in_two_spaces_is_no_match(spark):
     nodes, edges = graphs.frames(
         spark, [graphs.node("Release", 1), graphs.node("Artist", 2)], [graphs.edge("CREDITED", 1, 1), graphs.edge("CREDITED", 2, 1)]

@@ -31,7 +31,7 @@ class BuildReport:
     bad_edges: int
 
 
-# A set of ids up to this long is sent to every task (some 80 MB at the most);
+# A set of ids up to this long is sent to every task (some 100 MB at the most);
 # a longer one is joined by shuffle.
 BROADCAST_IDS = 5_000_000
 
@@ -137,7 +137,7 @@ def build_graph(
     rejected_count, _ = graph_tables.write_rejects(rejects, f"{out}/rejects")
 
     nodes, edges = graph_of(*(xml_dumps.accepted(screened[tag]) for tag in ("artist", "label", "release")))
-    edges = _land(edges, f"{stage}/edges")
+    nodes, edges = _land(nodes, f"{stage}/nodes"), _land(edges, f"{stage}/edges")
     flagged = integrity.flag_edges(edges, nodes)
     bad = _land(flagged.where("src_missing OR dst_missing"), f"{out}/bad_edges")
     bad_count = integrity.check_tolerance(bad, tolerance)

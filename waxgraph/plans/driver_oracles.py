@@ -636,6 +636,9 @@ SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR), 'new' FROM matched WHERE ok AND b
         "name_shards": _with(NODES)
         + """SELECT kind AS type, id, coalesce(name, title) AS name,
        lower(substring(coalesce(name, title), 1, 2)) AS prefix FROM nodes""",
+        "trimmed_shards": _with(*graph, DEGREES)
+        + """SELECT kind AS type, id, name, lower(substring(name, 1, 3)) AS prefix
+FROM nodes JOIN degrees USING (space, id) WHERE kind <> 'Release' AND degree >= 2""",
         "neighbours_budget": _with(*graph, TYPES, ADJACENCY)
         + f"""SELECT {REQUEST_ID} AS request_id, CAST(a.rk AS INTEGER) AS rk, a.type, a.src, a.dst, a.ordinal
 FROM nodes n LEFT JOIN adjacency a ON n.space = a.space AND n.id = a.id AND a.rk <= 60""",

@@ -38,6 +38,7 @@ VIEW_LIMIT = 60
 NEIGHBOUR_LIMIT = 60
 SEARCH_LIMIT = 60
 SUGGEST_LIMIT = 10
+LEAST_DEGREE = 2
 
 
 def query(run: Query) -> Query:
@@ -472,6 +473,14 @@ def name_shards(spark, sf):
     return graph_tables.name_shards(graph_tables.search_export(G.nodes(spark, sf)))
 
 
+@query
+def trimmed_shards(spark, sf):
+    kinds = [kind for kind in fixed.KINDS if kind != "Release"]
+    return graph_tables.name_shards(
+        graph_tables.trimmed_export(G.nodes(spark, sf), G.edges(spark, sf), kinds, LEAST_DEGREE), 3
+    )
+
+
 # ---------------------------------------------------------------- expansion
 
 

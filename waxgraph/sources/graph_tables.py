@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waxgraph import fixed, schemas
 from waxgraph.functions import text as X
+from waxgraph.operators.adjacency import NODE, degrees
 from waxgraph.operators.flatten import edge_row, node_row
 
 LINE_END = "\r\n"
@@ -144,6 +145,18 @@ def write_search_export(
     search_export(nodes, kinds).write.mode("errorifexists").options(**options).csv(out)
 
 
+def trimmed_export(
+    nodes: DataFrame, edges: DataFrame, kinds: Sequence[str], least_degree: int
+) -> DataFrame:
+    """The search export of some kinds without their hardly connected nodes.
+
+    Releases can be reached through their artists, so leaving them out costs
+    little and saves much.
+    """
+    known = degrees(edges).where(F.col("degree") >= least_degree).select(*NODE)
+    return search_export(nodes.join(known, NODE, "left_semi"), kinds)
+
+
 def name_shards(exported: DataFrame, width: int = 2) -> DataFrame:
     """Export rows with the prefix of their name they are looked up under."""
     return exported.withColumn("prefix", F.lower(F.substring("name", 1, width)))
