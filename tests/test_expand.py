@@ -44,7 +44,7 @@ def test_rare_types_never_lose_to_common_ones(spark):
     links = [graphs.edge("CREDITED", 1, release) for release in range(500)]
     links += [graphs.edge("MEMBER_OF", 1, 101), graphs.edge("ALIAS_OF", 1, 2)]
     _, edges = graphs.frames(spark, [graphs.node("Artist", 1)], links)
-    near = adj.adjacency(edges).where("space = 'entity' AND id = '1'")
+    near = adj.unfold(adj.adjacency(edges)).where("space = 'entity' AND id = '1'")
     assert near.count() == 300
     assert rows_of(near.where("rk <= 2"), "rk", "type") == [(1, "MEMBER_OF"), (2, "ALIAS_OF")]
 

@@ -55,21 +55,36 @@ def unconnected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(endpoints(edges).select(*NODE).distinct(), NODE, "left_anti")
 
 
-def budget_order(order: tuple[str, ...] = fixed.EDGE_TYPES) -> list[Column]:
-    """Rarest type first, then by number of the ends, then by position."""
-    return [
-        X.type_rank(F.col("type"), order).asc(),
-        X.numeric_id(F.col("src")).asc(),
-        X.numeric_id(F.col("dst")).asc(),
-        F.col("src").asc(),
-        F.col("dst").asc(),
-        F.col("ordinal").asc(),
-    ]
+def _near(edges: DataFrame) -> DataFrame:
+    """Both ends of every edge of a known type, as narrow as they can be.
 
+    An edge is told by the rank of its type, its other end and its direction;
+    names and both ids come back in ``unfold``, after the shuffles.
+    """
 
-def _first_edges(ends: DataFrame, cap: int) -> DataFrame:
-    kept = top_per(ends, NODE, budget_order(), cap)
-    return kept.select(*NODE, "rk", *EDGE, "other_space", "other")
+    def end(space: str, id_: str, other: str, forward: bool) -> Column:
+        return F.struct(
+            F.col(id_).alias("id"),
+            F.col(space).alias("space"),
+            F.col(other).alias("other"),
+            F.lit(forward).alias("forward"),
+        )
+
+    start, finish = end("src_space", "src", "dst", True), end("dst_space", "dst", "src", False)
+    ends = F.when(is_loop(), F.array(start)).otherwise(F.array(start, finish))
+    return edges.where(F.col("type").isin(*fixed.EDGE_TYPES)).select(
+        X.type_rank(F.col("type")).alias("rank"),
+        X.numeric_id(F.col("src")).alias("src_num"),
+        X.numeric_id(F.col("dst")).alias("dst_num"),
+        "ordinal",
+        F.inline(ends),
+    )
+
+
+def _first_edges(near: DataFrame, cap: int) -> DataFrame:
+    """Rarest type first, then by number of the ends, then by position."""
+    order = [F.col(name).asc() for name in ("rank", "src_num", "dst_num", "other", "ordinal", "forward")]
+    return top_per(near, NODE, order, cap).select(*NODE, "rk", "rank", "forward", "ordinal", "other")
 
 
 def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
@@ -79,12 +94,31 @@ def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
     them by ``rk <= limit``. Spending one budget type by type, each type taking
     what the ones before it left, is the same as cutting the ordered list.
     """
-    return _first_edges(endpoints(edges, *EDGE), cap)
+    return _first_edges(_near(edges), cap)
 
 
 def adjacency_of(
     edges: DataFrame, wanted: DataFrame, cap: int = fixed.LIMIT_MAX
 ) -> DataFrame:
     """The same for the nodes in ``wanted`` only, without a stored table."""
-    ends = endpoints(edges, *EDGE).join(wanted.select(*NODE), NODE, "left_semi")
-    return _first_edges(ends, cap)
+    return _first_edges(_near(edges).join(wanted.select(*NODE), NODE, "left_semi"), cap)
+
+
+def unfold(near: DataFrame) -> DataFrame:
+    """Replace rank and direction by type, src, dst and other_space; rows of nodes
+    without an edge stay null in all of them."""
+    rank, forward = F.col("rank"), F.col("forward")
+
+    def by_rank(values: list[str]) -> Column:
+        return F.get(F.array(*[F.lit(value) for value in values]), rank)
+
+    starts = by_rank([fixed.EDGE_SPACES[name][0] for name in fixed.EDGE_TYPES])
+    finishes = by_rank([fixed.EDGE_SPACES[name][1] for name in fixed.EDGE_TYPES])
+    return near.withColumns(
+        {
+            "type": by_rank(list(fixed.EDGE_TYPES)),
+            "src": F.when(forward, F.col("id")).when(~forward, F.col("other")),
+            "dst": F.when(forward, F.col("other")).when(~forward, F.col("id")),
+            "other_space": F.when(forward, finishes).when(~forward, starts),
+        }
+    ).drop("rank", "forward")
