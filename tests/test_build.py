@@ -136,6 +136,19 @@ def test_place_follows_the_document(spark, tmp_path):
     assert ids == ["100", "101", "102", "103", "104", "103", "abc", "105"]
 
 
+def test_elements_without_content_are_records_of_their_own(spark, tmp_path):
+    path = tmp_path / "masters.xml"
+    path.write_text(
+        '<masters>\n<master/><master id="1"><main_release>7</main_release></master><master id="2"/>\n'
+        '<master id="3" /><master id="4"><main_release>8</main_release></master>\n<master id="5"/></masters>'
+    )
+    for read in (xml_dumps.read_records, xml_dumps.read_records_spread):
+        masters = read(spark, str(path), "master").orderBy("place")
+        assert [r.main_release for r in masters.collect()] == [None, "7", None, None, "8", None]
+    texts = xml_dumps.read_texts(spark, str(path), "master").orderBy("place")
+    assert [r.content for r in texts.collect()][2:4] == ['<master id="2"/>', '<master id="3" />']
+
+
 def test_malformed_record_is_set_aside(spark, tmp_path):
     path = tmp_path / "artists.xml"
     path.write_text("<artists><artist><id>1</id><name>A<b></artist><artist><id>2</id></artist></artists>")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tests import graphs
 from tests.conftest import rows_of
-from waxgraph import fixed
-from waxgraph.operators import adjacency as adj, expand, refs, search
+from waxgraph.operators import expand, refs, search
 from waxgraph.plans import searching
 
 QUERIES = "query_id string, q string, limit int"

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from waxgraph import fixed
-from waxgraph.operators import adjacency as adj, aliases, integrity, labels, refs, search
+from waxgraph.operators import adjacency as adj, aliases, expand, flatten, integrity, labels, refs, search
 from waxgraph.operators.latest import top_per
+from waxgraph.session import settle
 
 ROWS = 90_000
 
@@ -35,6 +36,9 @@ def small_thresholds(spark):
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="20KB",
         spark__sql__adaptive__skewJoin__skewedPartitionFactor=1.5,
         spark__sql__adaptive__advisoryPartitionSizeInBytes="20KB",
+        # Many small tasks: a hot partition is split between the tasks that wrote it.
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="10KB",
+        spark__sql__shuffle__partitions=16,
     )
 
 
@@ -135,6 +139,23 @@ def test_the_join_with_hot_postings_is_split(spark):
         assert scores.where("query_id = 'h'").count() == ROWS // 3
 
 
+def test_a_hub_in_every_request_is_split(spark):
+    """Every artist is credited on release 0, so all frontiers meet there."""
+    i = F.col("id")
+    base = spark.range(1, ROWS // 3, numPartitions=8)
+    edges = base.select(*flatten.edge_row("CREDITED", i.cast("string"), F.lit("0"), i))
+    near = settle(adj.adjacency(edges))
+    requests = base.select(i.alias("request_id"), F.lit("Artist").alias("kind"), i.cast("string").alias("id"), F.lit(2).alias("limit"))
+    with small_thresholds(spark):
+        walked = expand.walk(expand.seeds(requests), near)
+        assert "skew=true" in final_plan(walked)
+    # The artist, the release, and the release's own first two credits.
+    nodes = expand.merged_nodes(walked).groupBy("request_id").count()
+    assert nodes.where("request_id > 2").where("count <> 4").count() == 0
+    assert nodes.where("request_id <= 2").where("count <> 3").count() == 0
+    assert nodes.count() == ROWS // 3 - 1
+
+
 def test_degrees_collapse_before_the_shuffle(spark, hub_edges):
     assert shuffled_rows(spark, adj.degrees(hub_edges)) <= 8 * (998 + 1010)
     degree = {r.id: r.degree for r in adj.degrees(hub_edges).where("space = 'entity'").collect()}

@@ -1,6 +1,6 @@
 """Catalogue dumps as DataFrames: one row per record, plus where it stood.
 
-Every reader adds ``place``, a struct (file, block, pos) that compares in
+Every reader adds ``place``, a struct (file, block, pos, item) that compares in
 document order. ``pos`` only grows inside one file block, which is why the file
 and the start of the block come before it.
 """
@@ -21,6 +21,7 @@ def _place() -> Column:
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
+        F.lit(0).alias("item"),
     ).alias("place")
 
 
@@ -38,12 +39,15 @@ def read_texts(spark: SparkSession, path: str | list[str], tag: str) -> DataFram
     does nothing else.
     """
     closing = f"</{tag}>"
-    opening = rf"(?s)<{tag}[\s>/].*"
     chunks = spark.read.option("lineSep", closing).text(path).select("value", _place())
-    content = F.regexp_extract("value", opening, 0)
-    # What follows the last record is the end of the root and holds no record.
-    found = chunks.select("place", content.alias("body")).where("body <> ''")
-    return found.select("place", F.concat("body", F.lit(closing)).alias("content"))
+    # Elements without content, <tag/>, may stand before the one a chunk ends with.
+    pieces = F.split("value", rf"(?=<{tag}[\s>/])")
+    spread = chunks.select("place", F.posexplode(pieces).alias("item", "piece"))
+    # What precedes the first element or follows the last one is no record.
+    spread = spread.where(F.col("piece").rlike(rf"^<{tag}[\s>/]"))
+    empty = F.regexp_extract("piece", rf"^<{tag}(\s[^>]*)?/>", 0)
+    content = F.when(empty != "", empty).otherwise(F.concat("piece", F.lit(closing)))
+    return spread.select(F.col("place").withField("item", F.col("item")).alias("place"), content.alias("content"))
 
 
 def parse_texts(texts: DataFrame, tag: str) -> DataFrame:
