@@ -9,6 +9,7 @@ ends up in loose bins is pooled and packed once more.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from pathlib import Path
 
@@ -26,7 +27,7 @@ SHARD = 8192
 # Bins with more free room than this are packed again with those of other shards.
 LOOSE = 32
 # Words whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 500_000
 
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -42,9 +43,9 @@ class WordIds:
     """Token ids of a text as little-endian bytes, remembered by word.
 
     The vocabulary drops white space and never joins characters across it, so the ids of
-    a text are those of its words in turn. ``tokenizers`` does all the encoding: a word
-    as a whole where it holds a special token, else its normalizer, its pattern and its
-    merges one by one, which costs a fraction of a call for each word.
+    a text are those of its words in turn. ``tokenizers`` does the encoding of new words:
+    as a whole where they hold a special token, else its normalizer and its merges one by
+    one, which costs a fraction of a call for each word.
     """
 
     def __init__(self, vocabulary: str):
@@ -54,6 +55,7 @@ class WordIds:
 
         spec = json.loads(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
         self.special = tuple(token["content"] for token in spec["added_tokens"])
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p))
         self.words: dict[str, bytes] = {}
@@ -66,33 +68,45 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(letters)])
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = found
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        self.pieces[piece] = found
         return found
 
-    def _word(self, word: str) -> bytes:
-        if any(s in word for s in self.special):
-            return self.whole(word)
-        return b"".join(map(self._piece, self.split.findall(self.tokenizer.normalizer.normalize_str(word))))
+    def _learn(self, words: list[str]) -> None:
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        joined = " ".join(words)
+        plain = (joined.lower() if joined.isascii() else self.tokenizer.normalizer.normalize_str(joined)).split(" ")
+        if len(plain) != len(words) or any(s in joined for s in self.special):
+            self.words |= {word: self.whole(word) for word in words}
+            return
+        known, piece_ids = self.pieces.get, self._piece
+        for word, normal in zip(words, plain):
+            bare = normal.rstrip(".,;:!?")
+            if bare.isalpha():  # letters, and maybe marks after them
+                found = known(bare) or piece_ids(bare)
+                if len(bare) < len(normal):
+                    marks = normal[len(bare) :]
+                    found += known(marks) or piece_ids(marks)
+            else:
+                found = b"".join([known(piece) or piece_ids(piece) for piece in self.split.findall(normal)])
+            self.words[word] = found
 
     def __call__(self, text: str) -> bytes:
         if _OTHER_BREAKS.search(text):
             return self.whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) >= CACHE:
+        if len(self.words) > CACHE:
             self.words.clear()
-        for word in set(words) - self.words.keys():
-            self.words[word] = self._word(word)
-        return b"".join(map(self.words.__getitem__, words))
+        words = text.split()
+        known = self.words
+        ids = list(map(known.get, words))
+        if None in ids:
+            new = [i for i, found in enumerate(ids) if found is None]
+            self._learn(list(dict.fromkeys([words[i] for i in new])))
+            for i in new:
+                ids[i] = known[words[i]]
+        return b"".join(ids)
 
 
 def cut(ids: bytes, limit: int):
