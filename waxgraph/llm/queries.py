@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waxgraph.llm import language, packing, repeats, simhash
+from waxgraph.llm import language, order_minhash, packing, repeats, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,3 +55,8 @@ def op7_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, docs.where(~language.held_out() & F.col("doc_id").isNotNull()))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
