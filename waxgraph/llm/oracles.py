@@ -2,6 +2,67 @@
 
 from __future__ import annotations
 
+# Boilerplate: depth 3, similarity 0.5, ten documents, four tokens.
+LINES = """
+lines AS (
+  SELECT doc_id, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {source} WHERE text IS NOT NULL)
+),
+tokens AS (
+  SELECT doc_id, line_no,
+         list_transform(
+           list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> ''),
+           lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS shape
+  FROM lines
+),
+judged AS (
+  SELECT doc_id, line_no, shape, len(shape) AS size, shape[1:3] AS leaf FROM tokens WHERE len(shape) >= 4
+),
+shapes AS (SELECT size, leaf, shape FROM judged GROUP BY ALL),
+leaves AS (SELECT size, leaf, count(*) AS shapes FROM shapes GROUP BY ALL),
+spread AS (
+  SELECT size, leaf, shape, unnest(range(4, len(shape) + 1)) AS place, unnest(shape[4:]) AS token FROM shapes
+),
+kept AS (
+  SELECT s.size, s.leaf, s.place, s.token
+  FROM spread s JOIN leaves l ON s.size = l.size AND s.leaf = l.leaf
+  WHERE l.shapes > 1
+  GROUP BY s.size, s.leaf, s.place, s.token, l.shapes HAVING count(*) * 2 > l.shapes
+),
+equals AS (
+  SELECT s.size, s.leaf, s.shape, count(*) AS equal
+  FROM spread s JOIN kept k ON s.size = k.size AND s.leaf = k.leaf AND s.place = k.place AND s.token = k.token
+  GROUP BY s.size, s.leaf, s.shape
+),
+templates AS (
+  SELECT s.size, s.leaf, s.shape,
+         CASE WHEN l.shapes > 1 AND coalesce(e.equal, 0) + 3 >= s.size * 0.5 THEN ['<template>'] ELSE s.shape END AS template
+  FROM shapes s
+  JOIN leaves l ON s.size = l.size AND s.leaf = l.leaf
+  LEFT JOIN equals e ON s.size = e.size AND s.leaf = e.leaf AND s.shape = e.shape
+),
+placed AS (
+  SELECT j.doc_id, j.line_no, t.size, t.leaf, t.template FROM judged j JOIN templates t ON j.shape = t.shape
+),
+recurring AS (
+  SELECT size, leaf, template, min(doc_id) AS first
+  FROM placed GROUP BY size, leaf, template HAVING count(DISTINCT doc_id) >= 10
+),
+gone AS (
+  SELECT p.doc_id, p.line_no
+  FROM placed p JOIN recurring r ON p.size = r.size AND p.leaf = r.leaf AND p.template = r.template
+  WHERE p.doc_id <> r.first
+)
+"""
+
+LINE_DEDUP = f"""
+WITH {LINES.format(source="documents")}
+SELECT d.doc_id, count(*) AS n_lines, count(g.line_no) AS n_dropped,
+       md5(coalesce(string_agg(d.line, chr(10) ORDER BY d.line_no) FILTER (WHERE g.line_no IS NULL), '')) AS kept_md5
+FROM lines d LEFT JOIN gone g ON d.doc_id = g.doc_id AND d.line_no = g.line_no
+GROUP BY d.doc_id
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op8_template_line_dedup": LINE_DEDUP}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waxgraph.llm import language, order_minhash, packing, repeats, simhash
+from waxgraph.llm import language, order_minhash, packing, repeats, simhash, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -60,3 +60,9 @@ def op7_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
