@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waxgraph.llm import language, order_minhash, packing, repeats, simhash, templates
+from waxgraph.llm import language, order_minhash, packing, repeats, simhash, templates, unigram
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -66,3 +66,15 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = templates.drop_recurring(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query
+def op5_unigram_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    found = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.crc32(F.col("decoded").cast("binary")) == F.col("crc32")).alias("round_trip"),
+    )
