@@ -64,5 +64,63 @@ GROUP BY d.doc_id
 """
 
 
+URL_LISTS = """
+WITH urls AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]*/([^/?#]+)', 1) AS part
+  FROM pages
+),
+entries AS (
+  SELECT CASE WHEN page_id % 5 < 2 THEN array_to_string(string_split(host, '.')[-2:], '.')
+              WHEN page_id % 5 < 4 THEN host ELSE host || '/' || part || '/' END AS pattern,
+         DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS dated,
+         page_id % 3 <> 0 AS listed
+  FROM urls
+),
+daily AS (SELECT pattern, dated, bool_or(listed) AS listed FROM entries GROUP BY pattern, dated),
+intervals AS (
+  SELECT pattern, dated AS since, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS until, listed FROM daily
+),
+captures AS (
+  SELECT page_id, url, host, DATE '2024-01-01' + CAST(page_id * 101 % 366 AS INTEGER) AS fetched,
+         list_concat(
+           list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+                          lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+           CASE WHEN part <> '' THEN [host || '/' || part || '/'] ELSE [] END) AS patterns
+  FROM urls
+),
+keys AS (SELECT page_id, fetched, unnest(list_distinct(patterns)) AS pattern FROM captures WHERE host <> ''),
+met AS (
+  SELECT k.page_id, i.pattern, i.since,
+         row_number() OVER (PARTITION BY k.page_id ORDER BY length(i.pattern) DESC, i.pattern DESC) AS place
+  FROM keys k JOIN intervals i
+    ON k.pattern = i.pattern AND i.listed AND k.fetched >= i.since AND (i.until IS NULL OR k.fetched < i.until)
+)
+SELECT c.page_id, c.host, m.page_id IS NOT NULL AS listed, m.pattern, CAST(m.since AS VARCHAR) AS since
+FROM captures c LEFT JOIN met m ON c.page_id = m.page_id AND m.place = 1
+"""
+
+NEAREST = """
+WITH codes AS (
+  SELECT vec_id AS id,
+         list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS low,
+         list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + 33] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS high
+  FROM embeddings
+),
+pairs AS (
+  SELECT q.id AS query_id, c.id, bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)) AS distance
+  FROM codes q, codes c WHERE q.id % 50 = 0 AND q.id <> c.id
+)
+SELECT query_id, place, id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs)
+WHERE place <= 10
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op8_template_line_dedup": LINE_DEDUP}
+    return {
+        "op3_temporal_url_lists": URL_LISTS,
+        "op4_multi_index_hashing": NEAREST,
+        "op8_template_line_dedup": LINE_DEDUP,
+    }

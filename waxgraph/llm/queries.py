@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from waxgraph.llm import language, order_minhash, packing, repeats, simhash, templates, unigram
+from waxgraph.llm import (
+    binary_search,
+    language,
+    order_minhash,
+    packing,
+    repeats,
+    simhash,
+    templates,
+    unigram,
+    url_lists,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -78,3 +89,41 @@ def op5_unigram_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         (F.crc32(F.col("decoded").cast("binary")) == F.col("crc32")).alias("round_trip"),
     )
+
+
+def url_list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries out of the pages: each page's host, domain or first path part is listed or taken off."""
+    host = url_lists.host_of(F.coalesce("url", F.lit("")))
+    first = F.regexp_extract(F.coalesce("url", F.lit("")), url_lists.SCHEME + "[^/?#]*/([^/?#]+)", 1)
+    which = F.col("page_id") % 5
+    pattern = (
+        F.when(which < 2, F.array_join(F.slice(F.split(host, "[.]"), -2, 2), "."))
+        .when(which < 4, host)
+        .otherwise(F.concat(host, F.lit("/"), first, F.lit("/")))
+    )
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    return pages.select(pattern.alias("pattern"), day.alias("dated"), (F.col("page_id") % 3 != 0).alias("listed"))
+
+
+@query
+def op3_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 101 % 366).cast("int"))
+    captures = pages.select("page_id", "url", day.alias("fetched"))
+    found = url_lists.evaluate(captures, url_list_entries(pages), id_column="page_id")
+    return found.select(F.col("id").alias("page_id"), "host", "listed", "pattern", F.col("since").cast("string").alias("since"))
+
+
+@query
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = binary_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return binary_search.nearest(codes, codes.where(F.col("id") % 50 == 0), k=10)
+
+
+@query
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.derivatives(warc.response_records(table(spark, sf_dir, "pages")))
+    return found.select(
+        F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "source_digest",
+        "block_digest", "n_links", F.md5("record").alias("record_md5"), "error",
+    )
