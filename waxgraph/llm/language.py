@@ -16,9 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from waxgraph.llm.common import batch_of, prepare
+from waxgraph.llm.common import prepare
 
 # The sample: this many texts of each language, and this many characters of each.
 SAMPLE_TEXTS = 32
@@ -28,8 +28,6 @@ STRETCH = 1024
 UNDETERMINED = "und"
 BLANK, UNSEEN = 0, 1
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of each state; state 0 is the start, every path spells a substring."""
@@ -200,9 +198,13 @@ def identify(
     text_column: str = "text",
     texts: int = SAMPLE_TEXTS,
     chars: int = SAMPLE_CHARS,
+    carry: bool = False,
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` for every document, learned from ``labelled`` (text, lang).
 
+    With ``carry`` every column of ``docs`` is kept, followed by the two; columns of
+    their names are replaced.
+
     ``lang_pred`` is a language of the sample, or ``und`` with score 0 where the text is
     null, empty or without a letter, or where nothing could be learned. ``score`` is the
     second-lowest entropy over the sum of the two lowest, 1 with one language; ties go
@@ -211,14 +213,21 @@ def identify(
     """
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(learn(sample(labelled, texts, chars)))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")] if carry else []
     plain = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)) if carry else [F.col(id_column).cast("long").alias("doc_id")],
+        F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
     )
+    schema = T.StructType([
+        *plain.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+    ])
 
     def rows(batches):
         parser = Parser(model.value)
         for batch in batches:
             names, score = parser.predict(batch["text"].to_pylist())
-            yield batch_of(_OUT, [batch["doc_id"], names, score])
+            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return plain.mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    found = plain.mapInArrow(rows, schema)
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score") if carry else found

@@ -353,6 +353,8 @@ def _cut(width: int, buckets: int, schema: pa.Schema):
         lists = np.searchsorted(doc, np.arange(len(block.ids) + 1))
         stay = block.symbols - np.uint8(SHIFT)
         kept = [stay[b:e][~gone[b:e]].tobytes() for b, e in zip(block.begins.tolist(), block.ends.tolist())]
+        if schema.field("kept").type == pa.string():
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         # Back to the order of the rows that came in.
         out = docs.take(pa.array(block.order))
         columns = [out[name] for name in schema.names[:-3]]
@@ -362,18 +364,24 @@ def _cut(width: int, buckets: int, schema: pa.Schema):
             pa.StructArray.from_arrays([pa.array(relative[0], pa.int64()), pa.array(relative[1], pa.int64())], ["start", "end"]),
         )
         sizes = pa.array(block.ends - block.begins, pa.int64())
-        return pa.table([*columns, sizes, pa.array(kept, pa.binary()), spans], schema=schema)
+        return pa.table([*columns, sizes, pa.array(kept, schema.field("kept").type), spans], schema=schema)
 
     return cut
 
 
 def remove_repeats(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, memory: int = MEMORY
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    width: int = WIDTH,
+    memory: int = MEMORY,
+    as_text: bool = False,
 ) -> DataFrame:
     """Every row of ``docs`` with ``n_bytes, kept, spans``.
 
     ``spans`` are the maximal runs of removed bytes (start and end in the UTF-8 text),
-    ``kept`` the remaining bytes. Strings are judged on the input and never cross
+    ``kept`` the remaining bytes, or with ``as_text`` the whole characters among them.
+    Strings are judged on the input and never cross
     documents. A null or empty text is empty. Of rows with one id none counts as earlier
     than another; a null id counts as later than all. Other columns are carried along,
     whatever their names; those named like the three results are replaced. An empty
@@ -404,7 +412,7 @@ def remove_repeats(
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     fields = [f for f in blocks.schema.fields if f.name not in ("block", "doc_id")]
     result = T.StructType([
-        *fields, T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("spans", spans),
+        *fields, T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("spans", spans),
     ])
     from pyspark.sql.pandas.types import to_arrow_schema
 
