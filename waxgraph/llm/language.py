@@ -6,7 +6,7 @@ there; the phrases needed, times the logarithm of the sample's length and divide
 length of the text, estimate its entropy relative to the language. The lowest one wins.
 
 Many texts advance together, one symbol at a time, through dense transition tables: a
-missing transition already leads to where the next phrase starts and carries a one.
+missing transition already leads to where the next phrase starts and carries the phrases that end.
 """
 
 from __future__ import annotations
@@ -115,12 +115,14 @@ class Parser:
         self.tables = []
         for origin, symbol, target, states, _ in model.automata:
             table = np.full((states, width), -1, np.int64)
-            table[origin, symbol] = target.astype(np.int64) * width << 1
-            start = np.where(table[0] < 0, 0, table[0]) | 1
+            table[origin, symbol] = target.astype(np.int64) * width << 2
+            # A phrase ends; a symbol that starts none is one more by itself.
+            start = np.where(table[0] < 0, 2, table[0] | 1)
             table = np.where(table < 0, start, table)
+            table[0] -= table[0] & 3 > 0
             table[:, self.pad] = 1
             table[0, self.pad] = 0
-            self.tables.append(table.astype(np.int32 if states * width < 1 << 30 else np.int64).ravel())
+            self.tables.append(table.astype(np.int32 if states * width < 1 << 29 else np.int64).ravel())
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases per language and text, symbols per text, and which texts have a letter."""
@@ -146,8 +148,8 @@ class Parser:
             now = np.where(inside, flat[np.minimum(begins[:n] + step, len(flat) - 1)], self.pad)
             for k, table in enumerate(self.tables):
                 moved = table[states[k][:n] + now]
-                counts[k, :n] += moved & 1
-                states[k][:n] = moved >> 1
+                counts[k, :n] += moved & 3
+                states[k][:n] = moved >> 2
         totals = np.zeros((len(self.tables), len(texts)), np.int64)
         for k in range(len(self.tables)):
             totals[k] = np.bincount(owner, counts[k], len(texts))
