@@ -7,7 +7,7 @@ from tests import dumps
 from tests.conftest import rows_of
 from waxgraph.operators import integrity
 from waxgraph.plans.alias_update import alias_update, apply_alias_update
-from waxgraph.plans.build_graph import Dumps, build_graph, send_if_short
+from waxgraph.plans.build_graph import Dumps, build_graph
 from waxgraph.sources import graph_tables, release_store, xml_dumps
 
 
@@ -26,8 +26,8 @@ def test_report(built):
     assert report.scanned_releases == 8
     assert report.wanted_releases == 6
     assert report.missing_releases == 1
-    # artists: no id, bad alias, bad member; label: no id; master: abc; release: no title
-    assert report.rejected_records == 6
+    # artists: no id, bad alias, bad member; label: no id; master: abc; releases: no title, id abc
+    assert report.rejected_records == 7
     # members 777, alias 4444, credit 8888
     assert report.bad_edges == 3
 
@@ -41,6 +41,7 @@ def test_rejects(spark, built):
         ("label", None, "no id"),
         ("master", "abc", "main_release not a number"),
         ("release", "102", "no title"),
+        ("release", "abc", "id not a number"),
     ]
 
 
@@ -157,13 +158,6 @@ def test_malformed_record_is_set_aside(spark, tmp_path):
     assert tuple(xml_dumps.load_counters(screened).first()) == (2, 1, 50.0)
 
 
-def test_a_short_id_list_is_broadcast_and_a_long_one_is_not(spark):
-    ids = spark.range(10)
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(send_if_short(ids, 10, limit=10)).lower()
-    assert "broadcast" not in plan(send_if_short(ids, 11, limit=10)).lower()
-
-
 def test_audit_reads_the_date_off_the_file_name(spark, tmp_path):
     path = dumps.write(tmp_path)["masters"]
     row = xml_dumps.audit(spark.read.text(path)).first()
@@ -285,3 +279,58 @@ def test_name_shards(spark, built, tmp_path):
     graph_tables.write_name_shards(exported, f"{tmp_path}/shards")
     back = spark.read.json(f"{tmp_path}/shards/prefix=an")
     assert rows_of(back, "id", "name") == [("1", "Ann Lee")]
+
+
+def _small_build(spark, tmp_path, releases, masters):
+    given = {
+        "artists": "<artists><artist><id>1</id><name>A</name></artist></artists>",
+        "labels": "<labels><label><id>1</id><name>L</name></label></labels>",
+        "masters": "<masters>" + "".join(f"<master><main_release>{m}</main_release></master>" for m in masters) + "</masters>",
+        "releases": f"<releases>{releases}</releases>",
+    }
+    for name, text in given.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    out = str(tmp_path / "out")
+    report = build_graph(spark, Dumps(**{name: str(tmp_path / f"{name}.xml") for name in given}), out)
+    return report, graph_tables.read_graph(spark, out)[0], spark.read.parquet(f"{out}/rejects")
+
+
+def test_a_bad_later_copy_does_not_displace_a_good_release(spark, tmp_path):
+    report, nodes, rejects = _small_build(
+        spark, tmp_path,
+        '<release id="7"><title>Good</title></release><release id="7"><released>1999</released></release>'
+        '<release data-id="5" id="8"><title>Eight</title></release><release id="9x"><title>No number</title></release>'
+        '<release id="9"><title>Nine</title></release><release data-id="7"><title>No id</title></release>',
+        [7, 8, 9],
+    )
+    assert rows_of(nodes.where("kind = 'Release'"), "id", "title") == [("7", "Good"), ("8", "Eight"), ("9", "Nine")]
+    found = rows_of(rejects, "id", "reason")
+    assert found == [(None, "id not a number"), ("7", "no title"), ("9x", "id not a number")]
+    assert (report.rejected_records, report.missing_releases) == (3, 0)
+
+
+def test_labels_without_a_number_are_reported(spark, tmp_path):
+    report, nodes, rejects = _small_build(
+        spark, tmp_path, '<release id="1"><title>One</title><labels><label id="x5" name="Odd"/></labels></release>', [1]
+    )
+    assert rows_of(rejects, "tag", "id", "reason") == [("label", "x5", "listed id not a number")]
+    assert rows_of(nodes.where("kind = 'Label'"), "id") == [("1",)] and report.bad_edges == 1
+
+
+def test_csv_set_when_files_are_limited_in_records(spark, make, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        labels = make([(str(i), f"name {i}", None) for i in range(100)], "id string, name string, profile string")
+        graph_tables.write_labels_csv(labels, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    (folder,) = [path for path in tmp_path.iterdir()]
+    assert spark.read.options(**graph_tables.CSV_READ).schema("id string, name string, profile string").csv(str(folder)).count() == 100
+
+
+def test_place_tells_files_of_one_name_apart(spark, tmp_path):
+    for part in ("a", "b"):
+        (tmp_path / part).mkdir()
+        (tmp_path / part / "dump.xml").write_text(f"<artists><artist><id>{part}</id></artist></artists>")
+    found = xml_dumps.read_texts(spark, [str(tmp_path / p) for p in ("b", "a")], "artist").orderBy("place")
+    assert ["<id>a<" in row.content for row in found.collect()] == [True, False]

@@ -134,3 +134,19 @@ def test_expand_as_one_call(spark):
         want_nodes, want_edges = graphs.two_hops(links, [key], 5, 300)
         assert found.where(F.col("request_id") == number).count() == len(want_nodes)
         assert linked.where(F.col("request_id") == number).count() == len(want_edges)
+
+
+def test_a_request_beyond_the_stored_cap_is_an_error_and_beyond_the_limit_is_clamped(spark):
+    nodes, edges = graphs.frames(
+        spark, [graphs.node("Artist", 1, "A")] + [graphs.node("Release", i, "R") for i in range(1, 401)],
+        [graphs.edge("CREDITED", 1, i) for i in range(1, 401)],
+    )
+
+    def found(cap, limit):
+        request = spark.createDataFrame([(1, "Artist", "1", limit)], "request_id long, kind string, id string, limit int")
+        return expand.neighbours(expand.seeds(request), adj.adjacency(edges, cap)).count()
+
+    assert found(50, 40) == 40 and found(50, 50) == 50
+    with pytest.raises(Exception, match="more edges than the stored adjacency"):
+        found(50, 60)
+    assert found(300, 400) == 300 and found(500, 400) == 300 and found(300, None) == 60

@@ -1,3 +1,8 @@
+import re
+from pathlib import Path
+
+import pytest
+
 from waxgraph import session
 
 
@@ -15,10 +20,32 @@ def test_the_folder_named_by_the_cluster_is_used(spark, monkeypatch):
         def get(self, key, default):
             return default
 
+    class Context:
+        master = "local[8]"
+        folder = None
+
+        def getCheckpointDir(self):
+            return self.folder
+
     class Unset:
         conf = Conf()
+        sparkContext = Context()
 
     assert session.shared_folder(Unset()).startswith("/") and session.shared_folder(Unset()) == session.shared_folder(Unset())
+    Context.folder = "/shared/checkpoints"
+    assert session.shared_folder(Unset()) == "/shared/checkpoints"
+    Context.folder, Context.master = None, "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Unset())
+
+
+def test_a_scope_deletes_its_tables(spark):
+    with session.scope(spark):
+        kept = session.settle(spark.range(3).toDF("id"))
+        assert kept.count() == 3
+        path = kept.inputFiles()[0]
+    assert not Path(path.removeprefix("file://")).exists()
+    assert session.settle(spark.range(3).toDF("id")).count() == 3
 
 
 def test_settle_keeps_rows_and_schema_and_cuts_the_plan(spark):
@@ -33,4 +60,5 @@ def test_contract_names_match():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"ingest_audit"}
+    plain = set(entry.queries()) - set(entry.oracle_sql())
+    assert all(re.match(r"op\d+_|pipeline$", name) for name in plain)

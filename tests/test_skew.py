@@ -129,7 +129,7 @@ def test_the_join_with_hot_postings_is_split(spark):
     texts = spark.range(0, ROWS, numPartitions=8).select(
         F.concat_ws(" ", F.when(i % 3 == 0, "hot"), F.concat(F.lit("w"), i.cast("string"))).alias("text")
     )
-    texts = texts.select("text", F.size(F.split("text", " ")).alias("length"), F.lit(1).cast("long").alias("documents"), F.lit(0).cast("long").alias("doc_key"))
+    texts = texts.select("text", F.size(F.split("text", " ")).alias("length"), F.lit(1).cast("long").alias("documents"), F.struct(F.lit(0).alias("rank"), F.lit(0).cast("long").alias("num"), F.lit("").alias("id")).alias("doc_key"))
     index = search.Index(texts, texts)
     asked = [("h", "hot"), *((f"q{n}", f"w{n}") for n in range(500))]
     queries = spark.createDataFrame(asked, "query_id string, term string")

@@ -84,14 +84,15 @@ def _near(edges: DataFrame) -> DataFrame:
 def _first_edges(near: DataFrame, cap: int) -> DataFrame:
     """Rarest type first, then by number of the ends, then by position."""
     order = [F.col(name).asc() for name in ("rank", "src_num", "dst_num", "other", "ordinal", "forward")]
-    return top_per(near, NODE, order, cap).select(*NODE, "rk", "rank", "forward", "ordinal", "other")
+    first = top_per(near, NODE, order, cap).withColumn("cap", F.lit(cap))
+    return first.select(*NODE, "rk", "rank", "forward", "ordinal", "other", "cap")
 
 
 def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
     """Every node's first ``cap`` edges, numbered by ``rk`` in budget order.
 
-    No request may ask for more than ``cap``, so written once this answers all of
-    them by ``rk <= limit``. Spending one budget type by type, each type taking
+    Written once this answers all requests up to ``cap`` by ``rk <= limit``; the cap
+    stays with the rows, so that a larger request is refused instead of cut. Spending one budget type by type, each type taking
     what the ones before it left, is the same as cutting the ordered list.
     """
     return _first_edges(_near(edges), cap)

@@ -67,6 +67,13 @@ def merge(sightings: DataFrame) -> DataFrame:
     )
 
 
+def unusable(sightings: DataFrame) -> DataFrame:
+    """Sightings that ``merge`` leaves out, as reject rows."""
+    return sightings.where(X.numeric_id(F.col("id")).isNull()).select(
+        F.lit("label").alias("tag"), F.col("seq.place").alias("place"), "id", F.lit("listed id not a number").alias("reason")
+    )
+
+
 def label_nodes(merged: DataFrame) -> DataFrame:
     return merged.select(
         *node_row("Label", F.col("id"), name=F.col("name"), profile=F.col("profile"))

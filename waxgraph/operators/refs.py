@@ -76,10 +76,9 @@ def _found(kind: Column, id_: Column) -> Column:
 def by_id(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(letter, ref, target): nodes with that native id, Artist before Group."""
     numbers = refs.where(is_number(F.col("ref")))
-    known = nodes.groupBy("space", "id").agg(F.min("kind").alias("kind"))
-    joined = numbers.join(
-        known.select("space", F.col("id").alias("ref"), "kind"), ["ref", "space"]
-    )
+    named = nodes.select("space", F.col("id").alias("ref"), "kind").join(numbers, ["ref", "space"], "left_semi")
+    known = named.groupBy("space", "ref").agg(F.min("kind").alias("kind"))
+    joined = numbers.join(known, ["ref", "space"])
     return joined.select("letter", "ref", _found(F.col("kind"), F.col("ref")).alias("target"))
 
 
@@ -107,7 +106,9 @@ def by_rank(
     queries = refs.select("ref").distinct().select(
         F.col("ref").alias("query_id"), F.col("ref").alias("q"), F.lit(top).alias("limit")
     )
-    ranked = search.rank(search.prepare(queries, fixed.REF_MAX), index, nodes, edges)
+    # Scored by the cleaned text; names are tested for the words as they were written.
+    asked = search.prepare(queries, fixed.REF_MAX).withColumn("said", F.col("q"))
+    ranked = search.rank(asked, index, nodes, edges)
     hits = refs.join(
         ranked.select(F.col("query_id").alias("ref"), "space", "kind", "id", "position"),
         ["ref", "space"],

@@ -18,14 +18,13 @@ from waxgraph.operators.latest import top_per
 from waxgraph.session import settle
 
 SCORE_DIGITS = 6
-# Ties go by kind, then by number; both fit into one long.
-ID_BITS = 58
+LAST_NUMBER = (1 << 63) - 1
 
 
-def doc_key(kind: Column, id_num: Column) -> Column:
+def doc_key(kind: Column, id_num: Column, id_: Column) -> Column:
+    """Ties go by kind, then by number, then by the id itself; ids without a number come last."""
     rank = F.when(kind == "Artist", 0).when(kind == "Group", 1).when(kind == "Label", 2).otherwise(3)
-    last = F.lit((1 << ID_BITS) - 1)
-    return F.shiftleft(rank.cast("bigint"), ID_BITS) + F.coalesce(id_num, last)
+    return F.struct(rank.alias("rank"), F.coalesce(id_num, F.lit(LAST_NUMBER)).alias("num"), id_.alias("id"))
 
 
 @dataclass(frozen=True)
@@ -56,7 +55,7 @@ def documents(nodes: DataFrame, text: Column | None = None) -> DataFrame:
         *NODE,
         "kind",
         "id_num",
-        doc_key(F.col("kind"), F.col("id_num")).alias("doc_key"),
+        doc_key(F.col("kind"), F.col("id_num"), F.col("id")).alias("doc_key"),
         F.array_join(words, " ").alias("text"),
     )
     return listed.where("text <> ''")
@@ -138,8 +137,8 @@ def pool(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
     )
     best = settle(best.select("query_id", "text", "score"))
     members = index.documents.join(best.select("text"), "text", "left_semi")
-    members = top_per(members, ["text"], [F.col("doc_key").asc(), F.col("id").asc()], size).drop("rk")
-    order = [F.col("score").desc(), F.col("doc_key").asc(), F.col("id").asc()]
+    members = top_per(members, ["text"], [F.col("doc_key").asc()], size).drop("rk")
+    order = [F.col("score").desc(), F.col("doc_key").asc()]
     return top_per(best.join(members, "text"), ["query_id"], order, size).select(
         "query_id", "kind", *NODE, "id_num", "score"
     )
@@ -204,8 +203,10 @@ def rank(
 ) -> DataFrame:
     """The best ``limit`` nodes of every query, best first in ``position``.
 
-    ``queries``: query_id, term, limit. Score and degree decide, then kind and id.
+    ``queries``: query_id, term, limit, and ``said`` where the words that names are
+    tested for differ from the term. Score and degree decide, then kind and id.
     """
+    said = F.col("said" if "said" in queries.columns else "term")
     # At most ``pool_size`` rows per query, and everything below starts from them.
     candidates = settle(pool(queries, index, pool_size))
     distinct = candidates.select(*NODE).distinct()
@@ -219,9 +220,9 @@ def rank(
     )
     ties = tied_names(candidates, nodes, edges)
     facts = distinct.join(shown, NODE).join(ties, NODE).join(degree, NODE, "left")
-    joined = candidates.join(facts, NODE).join(queries.select("query_id", "term", "limit"), "query_id")
+    joined = candidates.join(facts, NODE).join(queries.select("query_id", said.alias("said"), "limit"), "query_id")
     total = F.col("score") + boost(
-        X.terms(F.col("term")), F.lower("title"), F.concat("artists", "labels"), worth
+        X.terms(F.col("said")), F.lower("title"), F.concat("artists", "labels"), worth
     )
     scored = joined.withColumns(
         {
@@ -279,7 +280,7 @@ def seeds_of(ranked: DataFrame, limits: DataFrame) -> DataFrame:
         F.col("position").cast("bigint").alias("seed_no"),
         "space",
         "id",
-        F.col("budget").alias("limit"),
+        X.clamp_limit(F.col("budget").cast("string")).alias("limit"),
     )
 
 
@@ -309,7 +310,7 @@ def widened_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spread = texts.select(*NODE, F.explode(X.tokens(F.col("piece"))).alias("token"))
     counted = settle(spread.groupBy(*NODE, "token").agg(F.count(F.lit(1)).alias("tf")))
     lengths = counted.groupBy(*NODE).agg(F.sum("tf").alias("length"))
-    keys = nodes.select(*NODE, "kind", "id_num", doc_key(F.col("kind"), F.col("id_num")).alias("doc_key"))
+    keys = nodes.select(*NODE, "kind", "id_num", doc_key(F.col("kind"), F.col("id_num"), F.col("id")).alias("doc_key"))
     # One row per node, as a table of its own, so that the join with the token
     # rows of a node with very many of them can be split.
     return counted.join(settle(keys.join(lengths, NODE)), NODE)
@@ -325,7 +326,7 @@ def widened_pool(queries: DataFrame, wide: DataFrame, size: int = fixed.POOL) ->
     scored = scored.groupBy("query_id", "kind", *NODE, "id_num", "doc_key").agg(
         F.round(F.sum(_part_score(whole["mean"])), SCORE_DIGITS).alias("score")
     )
-    order = [F.col("score").desc(), F.col("doc_key").asc(), F.col("id").asc()]
+    order = [F.col("score").desc(), F.col("doc_key").asc()]
     return top_per(scored, ["query_id"], order, size).select(
         "query_id", F.col("rk").alias("position"), "kind", "id", "score"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waxgraph import fixed
 from waxgraph.functions import text as X
@@ -37,8 +37,10 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def graph_shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(section, key, value, share): counts with their share in per cent, totals,
-    and the ratios of edges to nodes. A ratio without a divisor is null."""
+    """(section, key, value, share, position): counts with their share in per cent,
+    numbered from the largest down, totals, and the ratios of edges to nodes. A ratio
+    without a divisor is null."""
+    unplaced = F.lit(None).cast("int").alias("position")
 
     def section(name: str, counts: DataFrame, key: str) -> DataFrame:
         total = counts.agg(F.sum("n")).scalar()
@@ -47,12 +49,15 @@ def graph_shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             F.col(key).alias("key"),
             F.col("n").cast("double").alias("value"),
             F.round(_share(F.col("n"), total), 6).alias("share"),
+            # One row per kind or type.
+            F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(F.col("n").desc(), F.col(key))).alias("position"),
         )
         summed = counts.agg(F.sum("n").cast("double").alias("value")).select(
             F.lit(name).alias("section"),
             F.lit("total").alias("key"),
             "value",
             F.lit(None).cast("double").alias("share"),
+            unplaced,
         )
         return listed.unionByName(summed)
 
@@ -71,6 +76,7 @@ def graph_shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         F.lit(name).alias("key"),
                         F.round(F.try_divide(over.cast("double"), under), 6).alias("value"),
                         F.lit(None).cast("double").alias("share"),
+                        unplaced,
                     )
                     for name, over, under in (
                         ("edges per node", types.agg(F.sum("n")).scalar(), F.col("nodes")),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from waxgraph import fixed
 from waxgraph.operators import aliases, flatten, integrity, labels as label_ops
-from waxgraph.operators.latest import last_write
 from waxgraph.sources import graph_tables, release_store, xml_dumps
 
 
@@ -31,15 +30,6 @@ class BuildReport:
     bad_edges: int
 
 
-# A set of ids up to this long is sent to every task (some 100 MB at the most);
-# a longer one is joined by shuffle.
-BROADCAST_IDS = 5_000_000
-
-
-def send_if_short(ids: DataFrame, count: int, limit: int = BROADCAST_IDS) -> DataFrame:
-    return F.broadcast(ids) if count <= limit else ids
-
-
 def _land(screened: DataFrame, path: str) -> DataFrame:
     screened.write.mode("errorifexists").parquet(path)
     return screened.sparkSession.read.parquet(path)
@@ -49,11 +39,7 @@ def land_records(
     spark: SparkSession, path: str, tag: str, stage: str, partitions: int | None = None
 ) -> DataFrame:
     """Parse a dump once into Parquet; later steps read only the columns they use."""
-    if tag == "label":
-        # Labels nest in labels, so only the row-tag reader finds their records.
-        records = xml_dumps.read_records(spark, path, tag)
-    else:
-        records = xml_dumps.read_records_spread(spark, path, tag, partitions)
+    records = xml_dumps.read_records_spread(spark, path, tag, partitions)
     return _land(xml_dumps.screen(records, tag), f"{stage}/{tag}")
 
 
@@ -63,17 +49,31 @@ def land_releases(
     """The releases named in ``wanted`` and how many records the dump holds.
 
     The id is read off the opening tag and only wanted texts go further, so
-    parsing, by far the dearest part, is done for those alone. Of a release given
-    twice the last one is taken; the shuffle that finds it also spreads the texts
-    over the cluster for parsing.
+    parsing, by far the dearest part, is done for those alone. ``wanted`` is a table
+    of its own: Spark sends it to every task if its size allows. Of a release given
+    twice the last accepted copy is taken; copies set aside and texts whose id is no
+    number stay as rejects. The shuffle by id also spreads the parsing.
     """
     seen = Observation()
     texts = xml_dumps.read_texts(spark, path, "release")
     texts = texts.observe(seen, F.count(F.lit(1)).alias("scanned"))
-    kept = release_store.keyed_texts(texts).join(wanted, "id", "left_semi")
-    last = last_write(kept, ["id"], [F.col("place")]).drop("id")
-    landed = _land(xml_dumps.screen(xml_dumps.parse_texts(last, "release"), "release"), f"{stage}/release")
-    return landed, seen.get["scanned"]
+    flagged = wanted.select("id", F.lit(True).alias("wanted"))
+    kept = release_store.keyed_texts(texts).join(flagged, "id", "left").where("wanted OR id IS NULL").drop("wanted")
+    # Texts without a number are spread by their place.
+    spread = kept.repartition("id", F.when(F.col("id").isNull(), F.xxhash64("place")))
+    screened = xml_dumps.screen(xml_dumps.parse_texts(spread, "release"), "release")
+    copies = Window.partitionBy("id", F.when(F.col("reject").isNotNull(), F.col("place"))).orderBy(F.col("place").desc())
+    last = screened.withColumn("nth", F.row_number().over(copies)).where("nth = 1").drop("nth", "id")
+    return _land(last, f"{stage}/release"), seen.get["scanned"]
+
+
+def label_sightings(labels: DataFrame, releases: DataFrame) -> DataFrame:
+    """Every mention of a label: its record, as a sublabel, on a release."""
+    return (
+        label_ops.dump_sightings(labels)
+        .unionByName(label_ops.sublabel_sightings(flatten.sublabels(labels)))
+        .unionByName(label_ops.release_sightings(flatten.listed_labels(releases)))
+    )
 
 
 def graph_of(
@@ -85,17 +85,12 @@ def graph_of(
     """Nodes and edges of accepted records, edges not yet checked."""
     listed = flatten.listed_labels(releases)
     nested = flatten.sublabels(labels)
-    sightings = (
-        label_ops.dump_sightings(labels)
-        .unionByName(label_ops.sublabel_sightings(nested))
-        .unionByName(label_ops.release_sightings(listed))
-    )
     entries = flatten.alias_entries(artists)
     pairs = aliases.pairs(entries, F.struct("place", "item_no"))
     nodes = flatten.all_nodes(
         flatten.entity_nodes(artists),
         flatten.release_nodes(releases),
-        label_ops.label_nodes(label_ops.merge(sightings)),
+        label_ops.label_nodes(label_ops.merge(label_sightings(labels, releases))),
     )
     edges = (
         flatten.member_edges(artists)
@@ -125,18 +120,18 @@ def build_graph(
 
     wanted = _land(integrity.wanted_ids(xml_dumps.accepted(screened["master"])), f"{stage}/wanted")
     wanted_count = wanted.count()
-    screened["release"], scanned = land_releases(
-        spark, dumps.releases, send_if_short(wanted, wanted_count), stage
-    )
+    screened["release"], scanned = land_releases(spark, dumps.releases, wanted, stage)
     missing = integrity.missing_wanted(screened["release"], wanted).count()
 
     rejects = None
     for tag, rows in screened.items():
         part = xml_dumps.rejected(rows, tag)
         rejects = part if rejects is None else rejects.unionByName(part)
+    usable = {tag: xml_dumps.accepted(rows) for tag, rows in screened.items()}
+    rejects = rejects.unionByName(label_ops.unusable(label_sightings(usable["label"], usable["release"])))
     rejected_count, _ = graph_tables.write_rejects(rejects, f"{out}/rejects")
 
-    nodes, edges = graph_of(*(xml_dumps.accepted(screened[tag]) for tag in ("artist", "label", "release")))
+    nodes, edges = graph_of(usable["artist"], usable["label"], usable["release"])
     nodes, edges = _land(nodes, f"{stage}/nodes"), _land(edges, f"{stage}/edges")
     flagged = integrity.flag_edges(edges, nodes)
     bad = _land(flagged.where("src_missing OR dst_missing"), f"{out}/bad_edges")

@@ -7,9 +7,16 @@ Spark scores texts.
 
 from __future__ import annotations
 
-from waxgraph import fixed
-
-SPACE = fixed.SPACE_CLASS
+# Fixed values, written out once more so that a wrong one does not pass on both sides.
+SPACE = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+NON_SPACE = "[^" + SPACE[1:]
+RESERVED = r"[-+&|!(){}\[\]^\"~*?:\\/]"
+TOKEN = r"[\p{L}\p{N}]+"
+PROFILE_REF = r"\[([aAlLrRmM])(?:([0-9]+)|=([^\[\]\n]{1,120}))\]"
+HREF = r'href="([^"]*)"'
 SITE = "https://catalogue.example"
 
 NODES = """
@@ -166,10 +173,7 @@ REQUEST_ID = """
   * 288230376151711744 + id_num"""
 
 EVERY_NODE = f"""
-  SELECT {REQUEST_ID} AS request_id, 1 AS seed_no, space, id, 6 AS lim FROM nodes"""
-
-EVERY_ARTIST = f"""
-  SELECT {REQUEST_ID} AS request_id, 1 AS seed_no, space, id, 60 AS lim FROM nodes WHERE kind = 'Artist'"""
+  SELECT {REQUEST_ID} AS request_id, 1 AS seed_no, space, id, 60 AS lim FROM nodes"""
 
 SIMPLE = """
 simple AS (
@@ -191,8 +195,8 @@ simple_ends AS (
 SIZE = "round(least(26.0, 4.0 + log2(degree + 1) * 19.8 / log2(11)), 6)"
 
 
-def _cleaned(text: str, width: int = fixed.TERM_MAX) -> str:
-    reserved = fixed.RESERVED_CLASS
+def _cleaned(text: str, width: int = 120) -> str:
+    reserved = RESERVED
     plain = f"regexp_replace(coalesce({text}, ''), '{reserved}', ' ', 'g')"
     return f"substring(trim(regexp_replace({plain}, '{SPACE}+', ' ', 'g')), 1, {width})"
 
@@ -201,7 +205,7 @@ def _driver_searches(limit: int) -> str:
     term = _cleaned("q")
     return f"""
 searches AS (
-  SELECT q AS query_id, {term} AS term, {limit} AS lim FROM (
+  SELECT q AS query_id, {term} AS term, {term} AS said, {limit} AS lim FROM (
     SELECT p_name || ' / ' || n_name AS q FROM (
       SELECT p_name, min(s_nationkey) AS k FROM part JOIN lineitem ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_name) JOIN nation ON n_nationkey = k
@@ -221,7 +225,7 @@ def _scoring(docs: str) -> list[str]:
         f"""
 asked AS (
   SELECT query_id, token, count(*) AS times FROM (
-    SELECT query_id, unnest(regexp_extract_all(lower(term), '{fixed.TOKEN}')) AS token FROM searches)
+    SELECT query_id, unnest(regexp_extract_all(lower(term), '{TOKEN}')) AS token FROM searches)
   GROUP BY ALL
 )""",
         """
@@ -244,13 +248,13 @@ pool AS (
 OWN_TOKENS = f"""
 doc_tokens AS (
   SELECT space, kind, id, id_num,
-         unnest(regexp_extract_all(lower(coalesce(nullif(name, ''), title)), '{fixed.TOKEN}')) AS token
+         unnest(regexp_extract_all(lower(coalesce(nullif(name, ''), title)), '{TOKEN}')) AS token
   FROM nodes
 )"""
 
 WIDE_TOKENS = f"""
 doc_tokens AS (
-  SELECT space, kind, id, id_num, unnest(regexp_extract_all(lower(piece), '{fixed.TOKEN}')) AS token FROM (
+  SELECT space, kind, id, id_num, unnest(regexp_extract_all(lower(piece), '{TOKEN}')) AS token FROM (
     SELECT space, kind, id, id_num, coalesce(nullif(name, ''), title) AS piece FROM nodes
     UNION ALL
     SELECT r.space, r.kind, r.id, r.id_num, t.name FROM nodes r JOIN (
@@ -287,7 +291,7 @@ boosted AS (
          substring(coalesce(n.profile, ''), 1, 200) AS profile,
          coalesce(d.degree, 0) AS degree,
          round(p.score + 6.0 * len(list_filter(
-           list_filter(regexp_split_to_array(lower(s.term), '{SPACE}+'), lambda x: x <> ''),
+           list_filter(regexp_split_to_array(lower(s.said), '{SPACE}+'), lambda x: x <> ''),
            lambda x: NOT contains(lower({EMPTY_TEXTS}), x)
                      AND len(list_filter(list_concat(t.artists, t.labels),
                                          lambda y: contains(lower(y), x))) > 0)), 6) AS score
@@ -314,7 +318,7 @@ refs AS (
               ELSE regexp_extract(m, '%s', 3) END AS ref
   FROM (SELECT space, kind, id, unnest(ms) AS m, CAST(unnest(range(len(ms))) AS INTEGER) AS no FROM (
           SELECT space, kind, id, regexp_extract_all(profile, '%s', 0) AS ms FROM nodes))
-)""" % ((fixed.PROFILE_REF,) * 6)
+)""" % ((PROFILE_REF,) * 6)
 
 RESOLVED_HEAD = """
 keys AS (
@@ -341,7 +345,7 @@ open_refs AS (
 )"""
 
 OPEN_SEARCHES = f"""
-searches AS (SELECT DISTINCT ref AS query_id, {_cleaned('ref', fixed.REF_MAX)} AS term, 5 AS lim FROM open_refs)"""
+searches AS (SELECT DISTINCT ref AS query_id, {_cleaned('ref', 200)} AS term, ref AS said, 5 AS lim FROM open_refs)"""
 
 RESOLVED = """
 by_rank AS (
@@ -389,7 +393,7 @@ wanted AS (
 
 REJECTS = """
 screened AS (
-  SELECT CASE
+  SELECT event_id, CASE
     WHEN event_type = 'view' AND value > 50 THEN 'malformed'
     WHEN event_type = 'error' THEN 'no id'
     WHEN event_type = 'signup' THEN 'id not a number'
@@ -462,7 +466,7 @@ CONVERSATION_TERMS = f"cleaned AS (SELECT conv_id, turn, {_cleaned('text')} AS t
 def oracles() -> dict[str, str]:
     graph = (NODES, EDGES, ENDS)
     expanded = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_NODE))
-    simple = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_ARTIST), SIMPLE, SIMPLE_ENDS)
+    simple = _with(*graph, TYPES, ADJACENCY, *_walk(EVERY_NODE), SIMPLE, SIMPLE_ENDS)
     ranked = lambda limit: _with(
         *graph, DEGREES, _driver_searches(limit), *_scoring(OWN_TOKENS), *RANKED
     )
@@ -480,7 +484,7 @@ decades AS (
   SELECT substr(y, 1, 3) || '0s' AS decade, count(*) AS n
   FROM (SELECT strftime({day}, '%Y-%m-%d') AS y FROM {table}) WHERE length(y) >= 4 GROUP BY 1
 )"""
-    return {
+    found = {
         "node_counts": _with(NODES, KINDS)
         + "SELECT kind, count(id) AS n FROM kinds LEFT JOIN nodes USING (kind) GROUP BY kind",
         "edge_counts": _with(EDGES, TYPES)
@@ -492,16 +496,18 @@ decades AS (
             "ec AS (SELECT type AS key, count(*) AS n FROM edges GROUP BY type)",
         )
         + """
-SELECT 'nodes' AS section, key, CAST(n AS DOUBLE) AS value, round(n * 100.0 / sum(n) OVER (), 6) AS share FROM nc
-UNION ALL SELECT 'nodes', 'total', CAST(sum(n) AS DOUBLE), NULL FROM nc
-UNION ALL SELECT 'edges', key, CAST(n AS DOUBLE), round(n * 100.0 / sum(n) OVER (), 6) FROM ec
-UNION ALL SELECT 'edges', 'total', CAST(sum(n) AS DOUBLE), NULL FROM ec
+SELECT 'nodes' AS section, key, CAST(n AS DOUBLE) AS value, round(n * 100.0 / sum(n) OVER (), 6) AS share,
+  CAST(row_number() OVER (ORDER BY n DESC, key) AS INTEGER) AS position FROM nc
+UNION ALL SELECT 'nodes', 'total', CAST(sum(n) AS DOUBLE), NULL, NULL FROM nc
+UNION ALL SELECT 'edges', key, CAST(n AS DOUBLE), round(n * 100.0 / sum(n) OVER (), 6),
+  row_number() OVER (ORDER BY n DESC, key) FROM ec
+UNION ALL SELECT 'edges', 'total', CAST(sum(n) AS DOUBLE), NULL, NULL FROM ec
 UNION ALL SELECT 'ratios', 'edges per node',
-  round((SELECT CAST(count(*) AS DOUBLE) FROM edges) / (SELECT count(*) FROM nodes), 6), NULL
+  round((SELECT CAST(count(*) AS DOUBLE) FROM edges) / (SELECT count(*) FROM nodes), 6), NULL, NULL
 UNION ALL SELECT 'ratios', 'credits per release',
-  round((SELECT CAST(n AS DOUBLE) FROM ec WHERE key = 'CREDITED') / (SELECT n FROM nc WHERE key = 'Release'), 6), NULL
+  round((SELECT CAST(n AS DOUBLE) FROM ec WHERE key = 'CREDITED') / (SELECT n FROM nc WHERE key = 'Release'), 6), NULL, NULL
 UNION ALL SELECT 'ratios', 'members per group',
-  round((SELECT CAST(n AS DOUBLE) FROM ec WHERE key = 'MEMBER_OF') / (SELECT n FROM nc WHERE key = 'Group'), 6), NULL
+  round((SELECT CAST(n AS DOUBLE) FROM ec WHERE key = 'MEMBER_OF') / (SELECT n FROM nc WHERE key = 'Group'), 6), NULL, NULL
 """,
         "node_degrees": _with(*graph, DEGREES)
         + "SELECT kind, id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degrees USING (space, id)",
@@ -551,9 +557,12 @@ WHERE p_partkey IN (SELECT id FROM wanted)""",
        CAST(p_size AS VARCHAR) AS main_credit, CAST(p_size + 1 AS VARCHAR) AS extra_credit
 FROM part WHERE p_partkey IN (SELECT id FROM wanted)""",
         "reject_reasons": _with(REJECTS) + "SELECT reason, count(*) AS n FROM screened GROUP BY reason",
-        "load_counters": _with(REJECTS)
+        "load_counters": _with(REJECTS, MASTERS)
         + """SELECT count(*) AS scanned, count(*) FILTER (reason <> 'accepted') AS errors,
-       round(count(*) FILTER (reason <> 'accepted') * 100.0 / count(*), 6) AS error_rate FROM screened""",
+       round(count(*) FILTER (reason <> 'accepted') * 100.0 / count(*), 6) AS error_rate,
+       (SELECT count(*) FROM wanted WHERE id IN (SELECT event_id FROM screened WHERE reason = 'accepted')) AS matched,
+       (SELECT count(*) FROM wanted WHERE id NOT IN (SELECT event_id FROM screened WHERE reason = 'accepted')) AS missing
+FROM screened""",
         "kind_split": """
 SELECT CASE WHEN o_orderstatus IN ('F', 'P') THEN 'Group' ELSE 'Artist' END AS kind,
        CAST(o_orderkey AS VARCHAR) AS id, nullif(o_orderpriority, '5-LOW') AS name,
@@ -594,7 +603,7 @@ WITH sightings AS (
          0 AS source, p_partkey AS place, 2147483647 AS item_no FROM part
   UNION ALL SELECT c_custkey, c_name, c_mktsegment, 0, c_custkey, 0 FROM customer
   UNION ALL SELECT l_partkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag || l_orderkey ELSE '' END, '',
-         1, l_orderkey * 10 + l_linenumber, l_suppkey FROM lineitem WHERE l_linestatus = 'O'),
+         1, l_orderkey * 10 + l_linenumber, l_suppkey FROM lineitem),
 last_name AS (
   SELECT id, name FROM (SELECT *, row_number() OVER (
     PARTITION BY id ORDER BY source DESC, place DESC, item_no DESC) AS nth FROM sightings) WHERE nth = 1),
@@ -629,9 +638,9 @@ SELECT CAST(a AS VARCHAR), CAST(b AS VARCHAR), 'new' FROM matched WHERE ok AND b
         "entity_nodes": _with(NODES)
         + "SELECT space, kind, id, id_num, title, name, realname, year, profile FROM nodes",
         "search_export": _with(DOCUMENT_NODES)
-        + f"SELECT type, id, name FROM named WHERE regexp_matches(name, '{fixed.NON_SPACE_CLASS}')",
+        + f"SELECT type, id, name FROM named WHERE regexp_matches(name, '{NON_SPACE}')",
         "export_skipped": _with(DOCUMENT_NODES)
-        + f"""SELECT type, count(*) FILTER (NOT coalesce(regexp_matches(name, '{fixed.NON_SPACE_CLASS}'), false))
+        + f"""SELECT type, count(*) FILTER (NOT coalesce(regexp_matches(name, '{NON_SPACE}'), false))
        AS skipped FROM named GROUP BY type""",
         "name_shards": _with(NODES)
         + """SELECT kind AS type, id, coalesce(name, title) AS name,
@@ -715,7 +724,7 @@ WHERE s.method IS NOT NULL GROUP BY ALL""",
   ELSE 'artist' END || '/' || id AS link FROM nodes""",
         "page_links": f"""
 SELECT page_id, CAST(unnest(range(len(hs))) AS INTEGER) AS no, unnest(hs) AS href FROM (
-  SELECT page_id, regexp_extract_all(html, '{fixed.HREF}', 1) AS hs FROM pages)""",
+  SELECT page_id, regexp_extract_all(html, '{HREF}', 1) AS hs FROM pages)""",
         "step_latest": _with(LATEST) + 'SELECT n, "of", name, state, elapsed, ts FROM latest',
         "build_progress": _with(LATEST)
         + """SELECT (SELECT "of" FROM latest ORDER BY n LIMIT 1) AS total,
@@ -725,4 +734,33 @@ SELECT page_id, CAST(unnest(range(len(hs))) AS INTEGER) AS no, unnest(hs) AS hre
   (SELECT "of" FROM latest ORDER BY n LIMIT 1) > 0
     AND count(*) FILTER (state IN ('done', 'skipped')) >= (SELECT "of" FROM latest ORDER BY n LIMIT 1)
     AND NOT bool_or(state = 'failed') AS finished FROM latest""",
+        "ingest_audit": "SELECT 'lineitem.parquet' AS file, count(*) AS rows, CAST(NULL AS VARCHAR) AS dump_date FROM lineitem",
+        "dump_round_trip": """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS profile,
+  c_custkey % 2 = 0 AS has_members FROM customer""",
+        "label_dump": """SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name,
+  CAST(n_nationkey + 100 AS VARCHAR) AS sub_id, n_name AS sub_name
+FROM nation""",
+        "graph_csv_round_trip": _with(NODES, EDGES)
+        + """SELECT 'node' AS section, kind, id AS a, coalesce(nullif(name, ''), title) AS b FROM nodes
+UNION ALL SELECT 'edge', type, src, dst FROM edges""",
+        "label_export": _with(NODES) + "SELECT id, name FROM nodes WHERE kind = 'Label'",
+        "stored_graph": _with(NODES, EDGES)
+        + """SELECT kind, count(*) AS n, true AS refused FROM nodes GROUP BY kind
+UNION ALL SELECT type, count(*), true FROM edges GROUP BY type""",
+        "step_log_stream": _with(LATEST) + 'SELECT n, "of", name, state, elapsed, ts FROM latest',
+        "graph_build": """
+WITH kept AS (SELECT * FROM part WHERE p_size <= 25),
+credited AS (SELECT p_partkey FROM kept WHERE p_size + 1 IN (SELECT c_custkey FROM customer))
+SELECT 'Artist' AS kind, count(*) AS n FROM customer WHERE c_custkey % 2 <> 0 HAVING count(*) > 0
+UNION ALL SELECT 'Group', count(*) FROM customer WHERE c_custkey % 2 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'Release', count(*) FROM kept HAVING count(*) > 0
+UNION ALL SELECT 'Label', count(*) FROM (
+  SELECT n_nationkey AS id FROM nation UNION SELECT n_nationkey + 100 FROM nation UNION SELECT p_size % 25 FROM kept)
+UNION ALL SELECT 'MEMBER_OF', count(*) FROM customer
+  WHERE c_custkey % 2 = 0 AND c_nationkey IN (SELECT c_custkey FROM customer) HAVING count(*) > 0
+UNION ALL SELECT 'CREDITED', count(*) FROM credited HAVING count(*) > 0
+UNION ALL SELECT 'RELEASED_ON', count(*) FROM kept HAVING count(*) > 0
+UNION ALL SELECT 'SUBLABEL', count(*) FROM nation HAVING count(*) > 0""",
     }
+    found["graph_report"] = found["graph_shares"]
+    return found

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waxgraph import fixed
 from waxgraph.functions import text as X
@@ -25,16 +26,18 @@ from waxgraph.operators import (
     stats,
     subgraph,
 )
-from waxgraph.plans import driver_graph as G, searching
-from waxgraph.session import settle, tune
+from waxgraph.plans import build_graph, driver_graph as G, report, searching
+from waxgraph.session import new_folder, settle, tune
 from waxgraph.sources import graph_tables, release_store, xml_dumps
+from waxgraph.streaming import build_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 SITE = "https://catalogue.example"
-EXPAND_LIMIT = 6
-VIEW_LIMIT = 60
+EXPAND_LIMIT = 60
+# The driver's node numbers take up less than this.
+ID_BITS = 58
 NEIGHBOUR_LIMIT = 60
 SEARCH_LIMIT = 60
 SUGGEST_LIMIT = 10
@@ -218,13 +221,14 @@ def reject_reasons(spark, sf):
 
 @query
 def load_counters(spark, sf):
-    counters = xml_dumps.load_counters(xml_dumps.screen(_event_records(spark, sf), "artist"))
+    wanted = integrity.wanted_ids(_masters(spark, sf))
+    counters = xml_dumps.load_counters(xml_dumps.screen(_event_records(spark, sf), "artist"), wanted, "id")
     return counters.withColumn("error_rate", F.round("error_rate", 6))
 
 
 @query
 def ingest_audit(spark, sf):
-    return xml_dumps.audit(G.table(spark, sf, "lineitem"))
+    return xml_dumps.audit(G.table(spark, sf, "lineitem")).drop("bytes")
 
 
 # ---------------------------------------------------------------- flattening
@@ -363,7 +367,7 @@ def label_merge(spark, sf):
         )
     )
     name = F.when(F.col("l_returnflag") != "N", F.concat("l_returnflag", _text("l_orderkey")))
-    listed = G.table(spark, sf, "lineitem").where("l_linestatus = 'O'").select(
+    listed = G.table(spark, sf, "lineitem").select(
         *label_ops.sighting(
             label_ops.FROM_RELEASES,
             _text("l_partkey"),
@@ -486,7 +490,8 @@ def trimmed_shards(spark, sf):
 
 def _requests(nodes: DataFrame, limit: int) -> DataFrame:
     """One request per node; the number of a request tells kind and id."""
-    number = search.doc_key(F.col("kind"), F.col("id_num"))
+    rank = F.when(F.col("kind") == "Artist", 0).when(F.col("kind") == "Group", 1).when(F.col("kind") == "Label", 2).otherwise(3)
+    number = F.shiftleft(rank.cast("bigint"), ID_BITS) + F.col("id_num")
     return nodes.select(number.alias("request_id"), "kind", "id", F.lit(limit).alias("limit"))
 
 
@@ -518,11 +523,8 @@ def expand_two_hop_edges(spark, sf):
 
 
 def _simple(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(nodes, simple edges) around every artist, wide enough for parallel credits."""
-    nodes = G.nodes(spark, sf)
-    adjacency = settle(adj.adjacency(G.edges(spark, sf)))
-    artists = nodes.where("kind = 'Artist'")
-    walked = settle(expand.walk(expand.seeds(_requests(artists, VIEW_LIMIT)), adjacency))
+    """(nodes, simple edges) around every node."""
+    nodes, walked = _expanded(spark, sf)
     return nodes, subgraph.simple_edges(expand.result_edges(walked))
 
 
@@ -555,7 +557,7 @@ def accumulated_sizes(spark, sf):
     """All expansions of one kind of seed land in one session, one after another."""
     _, walked = _expanded(spark, sf)
     edges = expand.result_edges(walked)
-    session = F.shiftright("request_id", search.ID_BITS)
+    session = F.shiftright("request_id", ID_BITS)
     landed = edges.select(
         session.alias("session"), F.struct("request_id", "arrival").alias("landed"), *subgraph.SIMPLE
     )
@@ -756,3 +758,154 @@ def step_latest(spark, sf):
 @query
 def build_progress(spark, sf):
     return progress.summary(progress.latest_steps(_step_records(spark, sf), "event_id"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _element(tag: str, *content: Column) -> Column:
+    return F.concat(F.lit(f"<{tag}>"), *content, F.lit(f"</{tag}>"))
+
+
+def _write_dump(records: DataFrame, root: str) -> str:
+    """``value`` rows as a gzip dump of many files, white space between the records."""
+    path = new_folder(records.sparkSession)
+    framed = records.select(F.concat(F.lit(f"<{root}>\n"), "value", F.lit(f"\n</{root}>")).alias("value"))
+    framed.write.option("compression", "gzip").text(path)
+    return path
+
+
+def _artist_dump(spark, sf) -> str:
+    customer = G.table(spark, sf, "customer").select(
+        _element(
+            "artist",
+            _element("id", _text("c_custkey")),
+            _element("name", F.col("c_name")),
+            _element("profile", F.col("c_mktsegment")),
+            F.when(F.col("c_custkey") % 2 == 0, _element("members", F.concat(F.lit('<name id="'), _text("c_nationkey"), F.lit('">x</name>')))).otherwise(""),
+        ).alias("value")
+    )
+    return _write_dump(customer, "artists")
+
+
+def _label_dump(spark, sf) -> str:
+    nested = F.concat(F.lit('<label id="'), _text(F.col("n_nationkey") + 100), F.lit('">'), "n_name", F.lit("</label><label/>"))
+    nation = G.table(spark, sf, "nation").select(
+        _element(
+            "label",
+            _element("id", _text("n_nationkey")),
+            _element("name", F.col("n_name")),
+            _element("sublabels", nested),
+        ).alias("value")
+    )
+    return _write_dump(nation, "labels")
+
+
+@query
+def dump_round_trip(spark, sf):
+    """Artist records written as XML and read back by many tasks."""
+    found = xml_dumps.read_records_spread(spark, _artist_dump(spark, sf), "artist")
+    return found.select("id", "name", "profile", F.col("members").isNotNull().alias("has_members"))
+
+
+@query
+def label_dump(spark, sf):
+    """Labels that nest in labels, cut out of the dump and parsed by many tasks."""
+    records = xml_dumps.read_records_spread(spark, _label_dump(spark, sf), "label")
+    sub = F.filter(F.col("sublabels.label"), lambda item: item["_id"].isNotNull())
+    return records.select("id", "name", sub[0]["_id"].alias("sub_id"), sub[0]["_VALUE"].alias("sub_name"))
+
+
+@query
+def graph_csv_round_trip(spark, sf):
+    """The nine interchange tables written and read back."""
+    out = new_folder(spark)
+    graph_tables.write_csv_set(G.nodes(spark, sf, years=True), G.edges(spark, sf), out)
+    nodes, edges = graph_tables.read_csv_set(spark, out)
+    listed = nodes.select(F.lit("node").alias("section"), "kind", F.col("id").alias("a"), X.display_title().alias("b"))
+    return listed.unionByName(edges.select(F.lit("edge").alias("section"), F.col("type").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query
+def label_export(spark, sf):
+    """The label table by itself, through its file."""
+    out = new_folder(spark)
+    labels = G.nodes(spark, sf).where("kind = 'Label'")
+    graph_tables.write_labels_csv(labels, out)
+    folder, _ = fixed.NODE_FILES["Label"]
+    read = spark.read.options(**graph_tables.CSV_READ).schema("id string, name string, profile string").csv(f"{out}/{folder}")
+    return read.select("id", "name")
+
+
+@query
+def stored_graph(spark, sf):
+    """Graph tables on disk; the second write of one place is refused."""
+    out = new_folder(spark)
+    nodes, edges = G.nodes(spark, sf), G.edges(spark, sf)
+    graph_tables.write_graph(nodes, edges, out)
+    try:
+        graph_tables.write_graph(nodes, edges, out)
+        refused = False
+    except AnalysisException:
+        refused = True
+    read_nodes, read_edges = graph_tables.read_graph(spark, out)
+    counted = read_nodes.groupBy("kind").agg(F.count("*").alias("n")).unionByName(
+        read_edges.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+    )
+    return counted.select("kind", "n", F.lit(refused).alias("refused"))
+
+
+@query
+def step_log_stream(spark, sf):
+    """The step log read as a stream until it is used up; the last batch is the state."""
+    log, out, state = (new_folder(spark) for _ in range(3))
+    records = _step_records(spark, sf)
+    last = progress.latest_steps(records, "event_id").drop("n")
+    # Ties between records of one second are not in the log: it keeps the later one.
+    order = F.struct("ts", progress.state_rank(F.col("state")))
+    top = Window.partitionBy("n", order).orderBy(F.col("event_id").desc())
+    kept = records.withColumn("nth", F.row_number().over(top)).where("nth = 1")
+    kept.select("n", *last.columns).write.json(log)
+    build_status.watch(spark, log, out, state).awaitTermination()
+    steps = spark.read.schema(progress.latest_steps(records, "event_id").schema).json(f"{out}/steps")
+    return steps.select("n", "of", "name", "state", "elapsed", "ts")
+
+
+@query
+def graph_report(spark, sf):
+    """The report written as JSON rows and read back: its shares."""
+    out = new_folder(spark)
+    nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
+    graph_tables.write_report(report.graph_report(nodes, edges), out)
+    rows = spark.read.schema("section string, row string").json(out).where("section = 'shares'")
+    entry = F.from_json("row", "section string, key string, value double, share double, position int")
+    return rows.select(entry.alias("entry")).select("entry.*")
+
+
+@query
+def graph_build(spark, sf):
+    """A graph built from four dumps: nodes by kind and edges by type."""
+    part = G.table(spark, sf, "part")
+    releases = part.select(
+        F.concat(
+            F.lit('<release id="'), _text("p_partkey"), F.lit('">'),
+            _element("title", F.col("p_name")),
+            _element("artists", _element("artist", _element("id", _text(F.col("p_size") + 1)))),
+            F.lit('<labels><label id="'), _text(F.col("p_size") % 25), F.lit('" name="x"/></labels></release>'),
+        ).alias("value")
+    )
+    masters = part.where("p_size <= 25").select(
+        F.concat(F.lit("<master><main_release>"), _text("p_partkey"), F.lit("</main_release></master>")).alias("value")
+    )
+    dumps = build_graph.Dumps(
+        artists=_artist_dump(spark, sf),
+        labels=_label_dump(spark, sf),
+        masters=_write_dump(masters, "masters"),
+        releases=_write_dump(releases, "releases"),
+    )
+    out = new_folder(spark)
+    build_graph.build_graph(spark, dumps, out)
+    nodes, edges = graph_tables.read_graph(spark, out)
+    return nodes.groupBy("kind").agg(F.count("*").alias("n")).unionByName(
+        edges.groupBy(F.col("type").alias("kind")).agg(F.count("*").alias("n"))
+    )

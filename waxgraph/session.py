@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,9 +40,40 @@ def _local_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    Only a session without any, as in a test, gets a local one.
+    That is ``spark.checkpoint.dir``, or else what the session was given as its
+    checkpoint directory. Only a session in one process, as in a test, gets a local one.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    return _local_folder()
+
+
+def new_folder(spark: SparkSession) -> str:
+    """Path of a folder of one's own in the shared one, gone when the scope or the application ends."""
+    path = f"{shared_folder(spark)}/waxgraph-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside are deleted at its end; nothing read from them may be used after it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -47,11 +81,9 @@ def settle(df: DataFrame) -> DataFrame:
 
     Used where one intermediate feeds several later steps: it is computed once,
     a lost executor costs no recomputation beyond it, and the planner knows its
-    size. The table goes when the application ends.
+    size. The table goes when the ``scope`` around it or else the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/waxgraph-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

@@ -51,7 +51,8 @@ def _write_quoted(df: DataFrame, path: str) -> None:
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
     line = F.concat(F.when(first, header).otherwise(""), F.concat_ws(",", *fields))
     lines = df.select(line.alias("value"))
-    lines.write.mode("errorifexists").option("lineSep", LINE_END).text(path)
+    # A limit on records per file would start further files without a header.
+    lines.write.mode("errorifexists").options(lineSep=LINE_END, maxRecordsPerFile=0).text(path)
 
 
 def write_node_csv(kind: str, rows: DataFrame, out: str) -> None:

@@ -12,15 +12,14 @@ STORE = "id long, content string"
 
 
 def keyed_texts(texts: DataFrame) -> DataFrame:
-    """(id, content, place) from release texts; texts without an id drop out."""
-    attribute = F.regexp_extract("content", r"^<release\s[^>]*?\bid\s*=\s*[\"']\s*([0-9]+)", 1)
-    keyed = texts.select(X.numeric_id(attribute).alias("id"), "content", "place")
-    return keyed.where(F.col("id").isNotNull())
+    """(id, content, place) from release texts; the id is null where it is no number."""
+    attribute = F.regexp_extract("content", r"^<release(?:\s[^>]*?)?\sid\s*=\s*([\"'])\s*([0-9]+)\s*\1", 2)
+    return texts.select(X.numeric_id(attribute).alias("id"), "content", "place")
 
 
 def build_store(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Text of every release in a dump, the last one where an id repeats."""
-    texts = keyed_texts(xml_dumps.read_texts(spark, path, "release"))
+    texts = keyed_texts(xml_dumps.read_texts(spark, path, "release")).where(F.col("id").isNotNull())
     return last_write(texts, ["id"], [F.col("place")]).select("id", "content")
 
 

@@ -18,7 +18,7 @@ XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
 
 def _place() -> Column:
     return F.struct(
-        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"),
         F.lit(0).alias("item"),
@@ -63,11 +63,27 @@ def read_records_spread(
     """Like ``read_records``, with parsing spread over the cluster.
 
     Parsing costs several times what inflating does, so the raw text of a big
-    compressed dump goes round robin to ``partitions`` tasks first.
+    compressed dump is dealt out first: to ``partitions`` tasks, or to as many as its
+    size asks for.
     """
-    texts = read_texts(spark, path, tag)
-    count = partitions or spark.sparkContext.defaultParallelism
-    return parse_texts(texts.repartition(count), tag)
+    texts = read_label_texts(spark, path) if tag == "label" else read_texts(spark, path, tag)
+    return parse_texts(texts.repartition(partitions) if partitions else texts.hint("rebalance"), tag)
+
+
+def read_label_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(place, content): the XML text of every outermost label, unparsed.
+
+    Labels nest in labels, but only outermost ones open without an attribute and
+    with content; so the cut is at that tag, and a record ends at its last closing
+    tag. A piece that is no record by this rule comes out malformed.
+    """
+    opening, closing = "<label>", "</label>"
+    pieces = spark.read.option("lineSep", opening).text(path).select("value", _place())
+    # What stands before the first record has no closing tag.
+    body = F.regexp_extract("value", r"(?s)^(.*)</label>", 1)
+    return pieces.where(F.contains("value", F.lit(closing))).select(
+        "place", F.concat(F.lit(opening), body, F.lit(closing)).alias("content")
+    )
 
 
 def _item_ids(column: str, field: str) -> Column:
@@ -116,13 +132,25 @@ def rejected(screened: DataFrame, tag: str) -> DataFrame:
     )
 
 
-def load_counters(screened: DataFrame) -> DataFrame:
-    """Records scanned, records set aside and their share in per cent."""
+def load_counters(screened: DataFrame, wanted: DataFrame | None = None, key: str = "_id") -> DataFrame:
+    """Records scanned, records set aside and their share in per cent.
+
+    With the ids that were ``wanted`` also how many of them were found among the
+    accepted records and how many were not.
+    """
     counts = screened.agg(
         F.count(F.lit(1)).alias("scanned"), F.count("reject").alias("errors")
     )
     rate = F.coalesce(F.try_divide(F.col("errors") * 100.0, F.col("scanned")), F.lit(0.0))
-    return counts.select("scanned", "errors", rate.alias("error_rate"))
+    counts = counts.select("scanned", "errors", rate.alias("error_rate"))
+    if wanted is None:
+        return counts
+    asked = wanted.select("id").distinct()
+    found = accepted(screened).select(X.numeric_id(F.col(key)).alias("id")).distinct().withColumn("hit", F.lit(1))
+    met = asked.join(found, "id", "left").agg(
+        F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("missing")
+    )
+    return counts.select("*", met.select("matched").scalar().alias("matched"), met.select("missing").scalar().alias("missing"))
 
 
 def audit(files: DataFrame) -> DataFrame:
