@@ -202,3 +202,18 @@ def test_rank_only_helps_within_the_best_five(spark):
     asked = spark.createDataFrame([("l", "North Road Store"), ("a", "North Road Store")], "letter string, ref string")
     resolved = refs.resolve(asked, nodes, edges, index_of(nodes))
     assert rows_of(resolved, "letter", "method") == [("a", "rank"), ("l", None)]
+
+
+def test_rows_scored_do_not_grow_with_a_common_token(spark, make):
+    def scored(common):
+        texts = [f"rare{i % 3} word{i}" for i in range(90)] + [f"common {i} filler{i}" for i in range(common)]
+        texts = [f"{t} common" if t.startswith("rare") else t for t in texts]
+        nodes = make([("entity", "Artist", str(i), i, None, t) for i, t in enumerate(texts)],
+                     "space string, kind string, id string, id_num long, title string, name string")
+        index = search.build_index(search.documents(nodes))
+        queries = search.prepare(make([(1, "rare0 rare1 rare2 common")], "query_id long, q string"))
+        found = search.text_scores(queries, index)
+        return found.count(), sorted((r.text, r.score) for r in found.orderBy(F.desc("score"), "doc_key").limit(60).collect())[:3]
+
+    few, many = scored(300)[0], scored(3000)[0]
+    assert few == many == 90

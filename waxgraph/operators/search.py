@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from waxgraph import fixed
 from waxgraph.functions import text as X
@@ -87,39 +87,92 @@ def prepare(queries: DataFrame, term_width: int = fixed.TERM_MAX) -> DataFrame:
 
 
 def _weighted_tokens(queries: DataFrame, counts: DataFrame, total: Column) -> DataFrame:
-    """(query_id, token, weight): how often a query holds a token times its idf.
+    """(query_id, token, weight, upper, texts): how often a query holds a token times
+    its idf, and what the token can add to a score at the most.
 
-    ``counts`` (token, df) was summed up before any shuffle, and the result is a
-    few rows per query in a table of its own: postings of a token that is on a
-    third of all texts meet it by broadcast, or by a join that can be split.
+    ``counts`` (token, df, texts, best) was summed up before any shuffle, and the
+    result is a few rows per query in a table of its own: postings of a token that is
+    on a third of all texts meet it by broadcast, or by a join that can be split.
     """
     asked = queries.select("query_id", F.explode(X.tokens(F.col("term"))).alias("token"))
     asked = asked.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = (F.col("times") * idf).alias("weight")
-    return settle(asked.join(counts, "token").select("query_id", "token", weight))
+    weight = F.col("times") * idf
+    return settle(
+        asked.join(counts, "token").select(
+            "query_id", "token", weight.alias("weight"), (weight * F.col("best")).alias("upper"), "texts"
+        )
+    )
 
 
-def _part_score(mean: Column) -> Column:
+def _saturation(mean: Column) -> Column:
+    """What a token is worth in a text before it is weighted."""
     norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("length") / mean)
-    return F.col("weight") * F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
+    return F.col("tf") * (fixed.BM25_K1 + 1) / (F.col("tf") + norm)
+
 
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    # The document key follows from the others.
+    return parts.groupBy("query_id", *keys, "doc_key").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
 
-def text_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, text, score, doc_key): BM25 of every text with any query token.
+
+def best_scores(
+    queries: DataFrame, postings: DataFrame, keys: list[str], whole: Column, df: Column, size: int
+) -> DataFrame:
+    """(query_id, *keys, score, doc_key): BM25 of everything that can be among the best ``size``.
+
+    ``postings``: token, *keys, tf, length, doc_key; ``whole`` holds total and mean. The
+    rarest tokens of a query are scored first; the score of the ``size``-th row found is a
+    bar. Tokens that even together stay below it cannot carry a row by themselves: they
+    complete the scores of rows that other tokens opened, and their long lists of
+    postings are met on (token, row) only. The best ``size`` rows are the same as without.
+    """
+    mean = whole["mean"]
+    counts = postings.groupBy("token").agg(
+        df.alias("df"), F.count(F.lit(1)).alias("texts"), F.max(_saturation(mean)).alias("best")
+    )
+    weighted = _weighted_tokens(queries, counts, whole["total"])
+
+    def opened_by(tokens: DataFrame) -> DataFrame:
+        part = (F.col("weight") * _saturation(mean)).alias("part")
+        return postings.join(tokens.select("query_id", "token", "weight"), "token").select("query_id", *keys, part, "doc_key")
+
+    # A query is short, so windows over its tokens are too.
+    rare_first = Window.partitionBy("query_id").orderBy("texts", "token")
+    before = rare_first.rowsBetween(Window.unboundedPreceding, -1)
+    onward = rare_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    placed = weighted.withColumns(
+        {
+            "rare": F.coalesce(F.sum("texts").over(before), F.lit(0)) < size,
+            "onward": F.sum("upper").over(onward),
+        }
+    )
+    first = _summed(opened_by(placed.where("rare")), keys)
+    bars = (
+        top_per(first, ["query_id"], [F.col("score").desc()], size)
+        .where(F.col("rk") == size)
+        .select("query_id", F.col("score").alias("bar"))
+    )
+    # Scores are rounded, so the bar is met with some room.
+    opens = F.col("rare") | F.col("bar").isNull() | (F.col("onward") >= F.col("bar") - 10.0 ** (1 - SCORE_DIGITS))
+    marked = settle(placed.join(bars, "query_id", "left").select("query_id", "token", "weight", opens.alias("opens")))
+    opened = settle(opened_by(marked.where("opens")))
+    lacking = opened.select("query_id", *keys).distinct().join(marked.where("NOT opens"), "query_id")
+    completed = lacking.join(postings, ["token", *keys]).select(
+        "query_id", *keys, (F.col("weight") * _saturation(mean)).alias("part"), "doc_key"
+    )
+    return _summed(opened.unionByName(completed), keys)
+
+
+def text_scores(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
+    """(query_id, text, score, doc_key): BM25 of the texts that can be among the best ``size``.
 
     A token repeated in the query counts as often as it stands there.
     """
-    postings = index.postings()
-    counts = postings.groupBy("token").agg(F.sum("documents").alias("df"))
     words = F.sum(F.col("length") * F.col("documents"))
     whole = F.struct(F.sum("documents").alias("total"), (words / F.sum("documents")).alias("mean"))
     whole = index.texts.agg(whole).scalar()
-    part = _part_score(whole["mean"])
-    weighted = _weighted_tokens(queries, counts, whole["total"])
-    return postings.join(weighted, "token").groupBy("query_id", "text").agg(
-        F.round(F.sum(part), SCORE_DIGITS).alias("score"), F.min("doc_key").alias("doc_key")
-    )
+    return best_scores(queries, index.postings(), ["text"], whole, F.sum("documents"), size)
 
 
 def pool(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
@@ -130,7 +183,7 @@ def pool(queries: DataFrame, index: Index, size: int = fixed.POOL) -> DataFrame:
     the first ``size`` of its text. Both cuts are therefore exact.
     """
     best = top_per(
-        text_scores(queries, index),
+        text_scores(queries, index, size),
         ["query_id"],
         [F.col("score").desc(), F.col("doc_key").asc()],
         size,
@@ -318,14 +371,11 @@ def widened_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def widened_pool(queries: DataFrame, wide: DataFrame, size: int = fixed.POOL) -> DataFrame:
     """The best ``size`` nodes per query by BM25 over the wider text."""
-    counts = wide.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     lengths = wide.select(*NODE, "length").distinct()
     whole = F.struct(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
     whole = lengths.agg(whole).scalar()
-    scored = wide.join(_weighted_tokens(queries, counts, whole["total"]), "token")
-    scored = scored.groupBy("query_id", "kind", *NODE, "id_num", "doc_key").agg(
-        F.round(F.sum(_part_score(whole["mean"])), SCORE_DIGITS).alias("score")
-    )
+    postings = wide.select("token", "kind", *NODE, "id_num", "tf", "length", "doc_key")
+    scored = best_scores(queries, postings, ["kind", *NODE, "id_num"], whole, F.count(F.lit(1)), size)
     order = [F.col("score").desc(), F.col("doc_key").asc()]
     return top_per(scored, ["query_id"], order, size).select(
         "query_id", F.col("rk").alias("position"), "kind", "id", "score"
