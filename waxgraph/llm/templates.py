@@ -24,25 +24,33 @@ VARIABLE = "<*>"
 NO_ID = (1 << 63) - 1
 
 
-def tokens_of(line: Column) -> Column:
-    """Tokens of a line, variable fields generalised; tabs and returns part tokens like blanks."""
-    tokens = F.filter(F.split(F.translate(line, "\t\r", "  "), " "), lambda t: t != "")
-    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
-    return F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
+def shape_of(line: Column) -> Column:
+    """Tokens of a line with one blank between them, variable fields generalised.
+
+    Tabs and returns part tokens like blanks. Strings, not arrays: the functions used here
+    are all compiled, and the costly ones run only on lines that need them.
+    """
+    blanks = F.translate(line, "\t\r", "  ")
+    single = F.trim(F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " +", " ")).otherwise(blanks))
+    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(single)
+
+
+def _count(text: Column, mark: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def _lines(rows: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """``id, print, line_no, size, leaf, shape, tokens`` of every line that is judged.
+def _shapes(rows: DataFrame, depth: int) -> DataFrame:
+    """``id, print, line_no, size, leaf, shape, text`` of every line; ``text`` is the shape itself.
 
-    ``print`` is a hash of the text: rows with one id but other texts stay apart.
+    ``print`` is a hash of the whole text: rows with one id but other texts stay apart.
     """
-    return (
-        rows.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select("id", "print", "line_no", tokens_of(F.col("line")).alias("tokens"))
-        .withColumn("size", F.size("tokens"))
-        .where(F.col("size") >= least_tokens)
-        .withColumn("leaf", F.xxhash64("size", F.slice("tokens", 1, depth)))
-        .withColumn("shape", F.xxhash64("size", "tokens"))
+    lines = rows.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    shaped = lines.select("id", "print", "line_no", shape_of(F.col("line")).alias("text"))
+    sized = shaped.withColumn("size", F.when(F.col("text") != "", _count(F.col("text"), " ") + 1).otherwise(0))
+    return sized.select(
+        "id", "print", "line_no", "size", "text",
+        F.xxhash64("size", F.substring_index("text", " ", depth)).alias("leaf"),
+        F.xxhash64("size", "text").alias("shape"),
     )
 
 
@@ -55,10 +63,10 @@ def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, sim
     shapes = seen.groupBy("leaf", "shape").agg(F.count("*").alias("docs"))
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("shapes"))
     crowded = scratch.keep(leaves.where((F.col("docs") >= least_docs) & (F.col("shapes") > 1)).select("leaf", "shapes"))
-    lines = _lines(rows, depth, least_tokens).select("leaf", "shape", "size", "tokens")
-    # All but the tokens hash alike for equal shapes, so one row of each shape is left.
-    known = scratch.keep(lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "shapes", "tokens").agg(F.lit(1).alias("one")))
-    spread = known.select("leaf", "shape", "size", "shapes", F.posexplode("tokens").alias("place", "token")).where(
+    lines = _shapes(rows, depth).select("leaf", "shape", "size", "text")
+    known = lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "shapes", "text").agg(F.lit(1).alias("one"))
+    known = scratch.keep(known.where(F.col("size") >= least_tokens))
+    spread = known.select("leaf", "shape", "size", "shapes", F.posexplode(F.split("text", " ")).alias("place", "token")).where(
         F.col("place") >= depth
     )
     kept = (
@@ -91,7 +99,8 @@ def drop_recurring(
     scratch = Scratch(prepare(docs.sparkSession))
     identity = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID))
     rows = docs.select(identity.alias("id"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
-    lines = scratch.keep(_lines(rows, depth, least_tokens).select("id", "print", "line_no", "leaf", "shape"))
+    # Short lines are left out after the table: a filter before it would do the work twice.
+    lines = scratch.keep(_shapes(rows, depth).drop("text")).where(F.col("size") >= least_tokens).drop("size")
     seen = scratch.keep(lines.select("id", "leaf", "shape").distinct())
     members = _members(scratch, rows, seen, depth, similarity, least_docs, least_tokens).withColumn("generalised", F.lit(True))
     # A shape outside its leaf's template is a template by itself.
@@ -126,6 +135,6 @@ def drop_recurring(
     ]
     return joined.select(
         *others,
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(_count(F.col("text"), "\n") + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.size(numbers).cast("long").alias("n_dropped"),
     )
