@@ -7,6 +7,8 @@ and the start of the block come before it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from waxgraph import schemas
@@ -67,7 +69,17 @@ def read_records_spread(
     size asks for.
     """
     texts = read_label_texts(spark, path) if tag == "label" else read_texts(spark, path, tag)
-    return parse_texts(texts.repartition(partitions) if partitions else texts.hint("rebalance"), tag)
+    return parse_texts(texts.repartition(partitions or _parts(spark, path)), tag)
+
+
+# Compressed bytes of a dump that one task parses.
+PART_BYTES = 8 << 20
+
+
+def _parts(spark: SparkSession, path: str | list[str]) -> int:
+    """As many tasks as the size of the files asks for, and no fewer than any shuffle has."""
+    files = spark.read.text(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(files) / PART_BYTES))
 
 
 def read_label_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
