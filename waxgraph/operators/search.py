@@ -218,13 +218,19 @@ def neighbour_names(
     return first.groupBy(*NODE).agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
-def tied_names(wanted: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def tied_names(
+    wanted: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    most_artists: int = fixed.NAMES_ARTISTS,
+    most_labels: int = fixed.NAMES_LABELS,
+) -> DataFrame:
     """(space, id, artists, labels) for the wanted nodes; empty where there are none.
 
     The two sides are collected apart, so no artist is paired with a label.
     """
-    artists = neighbour_names(wanted, nodes, edges, "CREDITED", "dst", "src", fixed.NAMES_ARTISTS)
-    labels = neighbour_names(wanted, nodes, edges, "RELEASED_ON", "src", "dst", fixed.NAMES_LABELS)
+    artists = neighbour_names(wanted, nodes, edges, "CREDITED", "dst", "src", most_artists)
+    labels = neighbour_names(wanted, nodes, edges, "RELEASED_ON", "src", "dst", most_labels)
     empty = F.array().cast("array<string>")
     joined = wanted.select(*NODE).distinct()
     joined = joined.join(artists.withColumnRenamed("names", "artists"), NODE, "left")
@@ -253,6 +259,7 @@ def rank(
     edges: DataFrame,
     pool_size: int = fixed.POOL,
     worth: float = fixed.NEIGHBOUR_BOOST,
+    preview: int = fixed.PREVIEW_SUGGEST,
 ) -> DataFrame:
     """The best ``limit`` nodes of every query, best first in ``position``.
 
@@ -269,7 +276,7 @@ def rank(
         *NODE,
         X.display_title().alias("title"),
         F.coalesce("year", F.lit("")).alias("year"),
-        F.substring(F.coalesce("profile", F.lit("")), 1, fixed.PREVIEW_SUGGEST).alias("profile"),
+        F.substring(F.coalesce("profile", F.lit("")), 1, preview).alias("profile"),
     )
     ties = tied_names(candidates, nodes, edges)
     facts = distinct.join(shown, NODE).join(ties, NODE).join(degree, NODE, "left")
