@@ -11,8 +11,8 @@ each of them with its context, so the suffixes are dealt to shards first:
 2. Around these, the bytes of all strings with that anchor (a segment) go to the shard
    of the anchor, once per block and text. Where very many documents share an anchor,
    each string goes to a shard of its own hash instead, so that no shard can overflow.
-3. A shard sorts the suffixes of its segments by external induced sorting
-   (``suffixes``). Neighbours that share ``width`` bytes form the groups of equal strings,
+3. A shard sorts the suffixes of all segments that differ from others with their anchor
+   by external induced sorting (``suffixes``). Neighbours that share ``width`` bytes form the groups of equal strings,
    and the smallest id in a group decides for all its members.
 4. The blocks turn the answers into spans and cut them out.
 """
@@ -31,7 +31,7 @@ from waxgraph.llm.suffixes import suffixes_descending
 
 WIDTH = 50
 # Bytes of text in a block or shard: grows with the root of the input between these bounds.
-LEAST_BLOCK, MOST_BLOCK, BLOCK_ROOT = 1 << 20, 1 << 26, 1 << 10
+LEAST_BLOCK, MOST_BLOCK, BLOCK_ROOT = 1 << 21, 1 << 24, 1 << 12
 # Anchors in more documents than this send single strings.
 HOT = 2000
 # Working memory of a suffix sort; what goes beyond is on disk.
@@ -61,6 +61,23 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - rest], values[rest:]) if rest else values
 
 
+def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
+    """Odd 64-bit hashes of the ``gram`` symbols from each position on, built up by doubling."""
+    hashed = {1: _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_FACTORS[0]))[symbols]}
+    size, level = 1, 0
+    while size * 2 <= gram:
+        half = hashed[size]
+        hashed[size * 2] = half[:-size] * np.uint64(_FACTORS[level]) + half[size:]
+        size, level = size * 2, level + 1
+    whole, rest = hashed.pop(size), gram - size
+    while rest:
+        part = 1 << (rest.bit_length() - 1)
+        tail = hashed[part][gram - rest :]
+        keep = min(len(whole), len(tail))
+        whole, rest = whole[:keep] * np.uint64(pow(_FACTORS[0], part, 1 << 64)) + tail[:keep], rest - part
+    return _mixed(whole[: len(symbols) - gram + 1]) | np.uint64(1)
+
+
 class Block:
     """Documents of a block as one string of symbols, and the anchors in it.
 
@@ -90,21 +107,7 @@ class Block:
         self.hashes = np.empty(0, np.uint64)
         if n < width:
             return
-        hashed = {1: _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_FACTORS[0]))[self.symbols]}
-        size, level = 1, 0
-        while size * 2 <= gram:
-            half = hashed[size]
-            hashed[size * 2] = half[:-size] * np.uint64(_FACTORS[level]) + half[size:]
-            size, level = size * 2, level + 1
-        whole, rest = hashed.pop(size), gram - size
-        while rest:
-            part = 1 << (rest.bit_length() - 1)
-            factor = np.uint64(pow(_FACTORS[0], part, 1 << 64))
-            at = gram - rest
-            tail = hashed[part][at:]
-            keep = min(len(whole), len(tail))
-            whole, rest = whole[:keep] * factor + tail[:keep], rest - part
-        self.grams = _mixed(whole[: n - gram + 1]) | np.uint64(1)
+        self.grams = gram_hashes(self.symbols, gram)
         span = width - gram + 1
         least = _sliding(self.grams, span, np.minimum)
         # Strings that run over a document's end count for nothing.
@@ -117,7 +120,8 @@ class Block:
         front = np.concatenate([np.zeros(span - 1, np.uint64), self.least, np.zeros(span - 1, np.uint64)])
         reach = _sliding(front, span, np.maximum)[: len(self.grams)]
         self.places = np.flatnonzero(reach == self.grams)
-        self.hashes = self.grams[self.places]
+        # Smallest hashes are small: mixed again, they deal evenly.
+        self.hashes = _mixed(self.grams[self.places] * np.uint64(_FACTORS[2]))
         self.span = span
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
@@ -125,7 +129,8 @@ class Block:
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the strings that the anchors ``which`` stand for."""
-        places, hashes = self.places[which], self.hashes[which]
+        places = self.places[which]
+        hashes = self.grams[places]
         first, last = np.full(len(which), np.iinfo(np.int64).max), np.full(len(which), -1)
         for back in range(self.span):
             start = places - back
@@ -298,19 +303,31 @@ def _sort_shard(width: int, memory: int):
             rows_of.append(np.array(mine))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begins = np.cumsum(sizes + 1) - sizes - 1
-        symbols = np.frombuffer(b"\x01".join(texts) + b"\x01\x00", np.uint8)
+        symbols = np.frombuffer(b"\x01".join(texts) + b"\x01", np.uint8)
         owner = np.array(owner, np.int64)
         least = np.repeat(owner, sizes + 1)
-        for places, shared in suffixes_descending(symbols, width, memory):
-            same = shared >= width
-            heads = np.flatnonzero(~same)
-            members = same.copy()
-            members[:-1] |= same[1:]
-            if members.any():
-                places = places[members]
-                heads = np.flatnonzero(~same[members])
-                group = np.minimum.reduceat(least[places], heads)
-                least[places] = np.repeat(group, np.diff(np.append(heads, len(places))))
+        # The anchor of all strings in a text is its smallest piece. Equal strings have equal
+        # anchors, so a text that is alone with its anchor has no string that another has.
+        gram = width // 2 + 1
+        grams = np.append(gram_hashes(symbols, gram), np.full(gram - 1, ~np.uint64(0)))
+        edges = np.stack([begins, begins + sizes - gram + 1], axis=1).ravel()
+        anchors = np.minimum.reduceat(grams, edges)[::2]
+        _, place, count = np.unique(anchors, return_inverse=True, return_counts=True)
+        contested = np.flatnonzero(count[place] > 1)
+        chosen = np.repeat(begins[contested], sizes[contested] + 1)
+        inner = np.arange(len(chosen)) - np.repeat(np.cumsum(sizes[contested] + 1) - sizes[contested] - 1, sizes[contested] + 1)
+        origin = np.append(chosen + inner, 0)
+        if len(contested):
+            sorted_symbols = np.append(symbols[origin[:-1]], np.uint8(0))
+            for places, shared in suffixes_descending(sorted_symbols, width, memory):
+                same = shared >= width
+                members = same.copy()
+                members[:-1] |= same[1:]
+                if members.any():
+                    at = origin[places[members]]
+                    heads = np.flatnonzero(~same[members])
+                    group = np.minimum.reduceat(least[at], heads)
+                    least[at] = np.repeat(group, np.diff(np.append(heads, len(at))))
         out = []
         for (block, ids), rows in zip(senders, rows_of):
             mask = np.zeros(len(rows), np.uint64)
