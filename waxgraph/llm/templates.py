@@ -54,7 +54,7 @@ def _shapes(rows: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int, least_tokens: int):
+def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int):
     """``leaf, shape`` of the shapes that belong to their leaf's template.
 
     Only leaves with several shapes and enough documents can matter, so only their lines
@@ -65,7 +65,9 @@ def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, sim
     crowded = scratch.keep(leaves.where((F.col("docs") >= least_docs) & (F.col("shapes") > 1)).select("leaf", "shapes"))
     lines = _shapes(rows, depth).select("leaf", "shape", "size", "text")
     known = lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "shapes", "text").agg(F.lit(1).alias("one"))
-    known = scratch.keep(known.where(F.col("size") >= least_tokens))
+    # The leaves hold the token count, so short lines are out; a filter on it would be
+    # moved below the join and build every shape again.
+    known = scratch.keep(known)
     spread = known.select("leaf", "shape", "size", "shapes", F.posexplode(F.split("text", " ")).alias("place", "token")).where(
         F.col("place") >= depth
     )
@@ -102,7 +104,7 @@ def drop_recurring(
     # Short lines are left out after the table: a filter before it would do the work twice.
     lines = scratch.keep(_shapes(rows, depth).drop("text")).where(F.col("size") >= least_tokens).drop("size")
     seen = scratch.keep(lines.select("id", "leaf", "shape").distinct())
-    members = _members(scratch, rows, seen, depth, similarity, least_docs, least_tokens).withColumn("generalised", F.lit(True))
+    members = _members(scratch, rows, seen, depth, similarity, least_docs).withColumn("generalised", F.lit(True))
     # A shape outside its leaf's template is a template by itself.
     own = F.when(F.col("generalised"), F.lit(0)).otherwise(F.col("shape"))
     templates = scratch.keep(
