@@ -76,7 +76,7 @@ def test_packed_documents(make, tools):
     assert ((found.length == limit) | (found.start + found.length == found.doc_id.map(lambda i: len(ids[i])))).all()
     for _, rows in found.sort_values("offset").groupby("sequence_id"):
         assert rows.offset.tolist() == [0, *np.cumsum(rows.length)[:-1]] and rows.length.sum() <= limit
-    assert found.sequence_id.nunique() <= -(-found.length.sum() // limit) + 2
+    assert found.sequence_id.nunique() <= len(packing.best_two_fit(found.length, limit)) + 2
 
 
 def test_shards_leave_few_loose_bins(spark, make):

@@ -68,7 +68,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        letters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
         found = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
         self.pieces[piece] = found
         return found
