@@ -35,6 +35,8 @@ _PIECES = pa.schema([
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, fill long"
 
+# Letters on whose class all versions of Unicode agree; other words are encoded as a whole.
+_LATIN = regex.compile("[\x00-\u024f]*")
 # Python's str.split also splits at these, which the vocabulary's patterns do not.
 _OTHER_BREAKS = regex.compile("[\x1c-\x1f]")
 
@@ -77,6 +79,12 @@ class WordIds:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         joined = " ".join(words)
+        if not _LATIN.fullmatch(joined):
+            self.words |= {word: self.whole(word) for word in words if not _LATIN.fullmatch(word)}
+            words = [word for word in words if _LATIN.fullmatch(word)]
+            joined = " ".join(words)
+        if not words:
+            return
         plain = (joined.lower() if joined.isascii() else self.tokenizer.normalizer.normalize_str(joined)).split(" ")
         if len(plain) != len(words) or any(s in joined for s in self.special):
             self.words |= {word: self.whole(word) for word in words}
