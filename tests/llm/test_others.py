@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from waxgraph.llm import binary_search, language, order_minhash, queries, templates, unigram, url_lists, warc
 
 
@@ -206,6 +207,15 @@ def test_too_few_documents_and_short_lines_stay(make):
     assert all(r.n_dropped == 0 for r in templates.drop_recurring(make(rows, "doc_id long, text string")).collect())
 
 
+def test_ten_short_lines_with_a_shared_opening_stay(spark, make):
+    words = "home rain five tea trees wolves maps snow bread songs".split()
+    rows = [(i, f"She said that {w}\nShe said that {w} was {w}s\nFollow us on {w} today please all") for i, w in enumerate(words)]
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make(rows, "doc_id long, text string"), "").collect()}
+    assert found[0] == rows[0][1]
+    # Only the line with an equal constant after the opening is a template.
+    assert all(found[i] == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 10))
+
+
 # --- URL lists -------------------------------------------------------------------------
 
 

@@ -17,35 +17,40 @@ from waxgraph.llm.common import Scratch, prepare
 # Leading tokens in the tree; part of a line that must equal its leaf's template.
 DEPTH = 3
 SIMILARITY = 0.5
-# Documents from which a template is boilerplate; shorter lines are never judged.
+# Documents from which a template is boilerplate; shorter lines are only judged on demand.
 LEAST_DOCS = 10
 LEAST_TOKENS = 4
 VARIABLE = "<*>"
 NO_ID = (1 << 63) - 1
 
 
-def shape_of(line: Column) -> Column:
+def shape_of(line: Column, exact_below: int = 0) -> Column:
     """Tokens of a line with one blank between them, variable fields generalised.
 
+    Lines of fewer tokens than ``exact_below`` stay as they are.
+
     Tabs and returns part tokens like blanks. Strings, not arrays: the functions used here
     are all compiled, and the costly ones run only on lines that need them.
     """
     blanks = F.translate(line, "\t\r", "  ")
     single = F.trim(F.when(F.contains(blanks, F.lit("  ")), F.regexp_replace(blanks, " +", " ")).otherwise(blanks))
-    return F.when(single.rlike("[0-9]"), F.regexp_replace(single, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(single)
+    general = single.rlike("[0-9]")
+    if exact_below:
+        general &= _count(single, " ") + 1 >= exact_below
+    return F.when(general, F.regexp_replace(single, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(single)
 
 
 def _count(text: Column, mark: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def _shapes(rows: DataFrame, depth: int) -> DataFrame:
+def _shapes(rows: DataFrame, depth: int, exact_below: int = 0) -> DataFrame:
     """``id, print, line_no, size, leaf, shape, text`` of every line; ``text`` is the shape itself.
 
     ``print`` is a hash of the whole text: rows with one id but other texts stay apart.
     """
     lines = rows.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    shaped = lines.select("id", "print", "line_no", shape_of(F.col("line")).alias("text"))
+    shaped = lines.select("id", "print", "line_no", shape_of(F.col("line"), exact_below).alias("text"))
     sized = shaped.withColumn("size", F.when(F.col("text") != "", _count(F.col("text"), " ") + 1).otherwise(0))
     return sized.select(
         "id", "print", "line_no", "size", "text",
@@ -54,7 +59,10 @@ def _shapes(rows: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int):
+def _members(
+    scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int,
+    least_tokens: int, count_leading: bool, exact_below: int,
+) -> DataFrame:
     """``leaf, shape`` of the shapes that belong to their leaf's template.
 
     Only leaves with several shapes and enough documents can matter, so only their lines
@@ -63,7 +71,7 @@ def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, sim
     shapes = seen.groupBy("leaf", "shape").agg(F.count("*").alias("docs"))
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("shapes"))
     crowded = scratch.keep(leaves.where((F.col("docs") >= least_docs) & (F.col("shapes") > 1)).select("leaf", "shapes"))
-    lines = _shapes(rows, depth).select("leaf", "shape", "size", "text")
+    lines = _shapes(rows, depth, exact_below).select("leaf", "shape", "size", "text")
     known = lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "shapes", "text").agg(F.lit(1).alias("one"))
     # The leaves hold the token count, so short lines are out; a filter on it would be
     # moved below the join and build every shape again.
@@ -76,9 +84,15 @@ def _members(scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, sim
         .where(F.col("n") * 2 > F.col("shapes"))
         .select("leaf", "place", "token")
     )
-    equal = spread.join(kept, ["leaf", "place", "token"]).groupBy("leaf", "shape").agg(F.count("*").alias("equal"))
+    equal = spread.join(kept, ["leaf", "place", "token"]).groupBy("leaf", "shape").agg(
+        F.count("*").alias("equal"), F.count_if(F.col("token") != VARIABLE).alias("constants")
+    )
     matched = known.select("leaf", "shape", "size").join(equal, ["leaf", "shape"], "left")
-    return matched.where(F.coalesce("equal", F.lit(0)) + depth >= F.col("size") * similarity).select("leaf", "shape")
+    if count_leading:
+        belongs = F.coalesce("equal", F.lit(0)) + depth >= F.col("size") * similarity
+    else:
+        belongs = (F.col("equal") >= (F.col("size") - depth) * similarity) & (F.col("constants") > 0)
+    return matched.where(belongs & (F.col("size") >= least_tokens)).select("leaf", "shape")
 
 
 def drop_recurring(
@@ -89,6 +103,8 @@ def drop_recurring(
     similarity: float = SIMILARITY,
     least_docs: int = LEAST_DOCS,
     least_tokens: int = LEAST_TOKENS,
+    count_leading: bool = True,
+    short_lines: bool = False,
 ) -> DataFrame:
     """Every row of ``docs``, its text without boilerplate lines, with ``n_lines, n_dropped``.
 
@@ -97,14 +113,22 @@ def drop_recurring(
     with the same id are one document, and so are all rows with a null id, which come
     last. All other columns are kept, whatever their names; those named like the two
     counts are replaced. An empty table gives an empty result.
+
+    The leading tokens are equal in a leaf by construction. With ``count_leading`` they
+    count towards ``similarity``, as in the SQL twin; without, only the positions after
+    them do, and one token there must be an equal constant. With ``short_lines``, lines of
+    fewer than ``least_tokens`` tokens, but at least one, are judged too, each by its exact tokens.
     """
     scratch = Scratch(prepare(docs.sparkSession))
     identity = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID))
     rows = docs.select(identity.alias("id"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
+    exact_below, least = (least_tokens, 1) if short_lines else (0, least_tokens)
     # Short lines are left out after the table: a filter before it would do the work twice.
-    lines = scratch.keep(_shapes(rows, depth).drop("text")).where(F.col("size") >= least_tokens).drop("size")
+    lines = scratch.keep(_shapes(rows, depth, exact_below).drop("text")).where(F.col("size") >= least).drop("size")
     seen = scratch.keep(lines.select("id", "leaf", "shape").distinct())
-    members = _members(scratch, rows, seen, depth, similarity, least_docs).withColumn("generalised", F.lit(True))
+    members = _members(
+        scratch, rows, seen, depth, similarity, least_docs, least_tokens, count_leading, exact_below
+    ).withColumn("generalised", F.lit(True))
     # A shape outside its leaf's template is a template by itself.
     own = F.when(F.col("generalised"), F.lit(0)).otherwise(F.col("shape"))
     templates = scratch.keep(
