@@ -216,6 +216,13 @@ def test_ten_short_lines_with_a_shared_opening_stay(spark, make):
     assert all(found[i] == rows[i][1].rsplit("\n", 1)[0] for i in range(1, 10))
 
 
+def test_short_lines_go_by_their_exact_text(spark, make):
+    rows = [(i, f"Home\tMenu\nAll  rights reserved.\nPage {i}\n{i}\n\n{'abcdefghij'[i] * 3} is text of its own" + ("\nNine here" if i else "")) for i in range(10)]
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make(rows, "doc_id long, text string"), "").collect()}
+    assert found[0] == rows[0][1]
+    assert all(found[i] == f"Page {i}\n{i}\n\n{'abcdefghij'[i] * 3} is text of its own\nNine here" for i in range(1, 10))
+
+
 # --- URL lists -------------------------------------------------------------------------
 
 
