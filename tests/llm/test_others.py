@@ -279,6 +279,20 @@ def test_nearest_equals_brute_force(make):
     assert binary_search.nearest(frame, frame.limit(0), k=3).count() == 0
 
 
+def test_nearest_with_repeated_rows_and_two_codes(make):
+    rng = random.Random(12)
+    rows = [(i, rng.getrandbits(64)) for i in range(60)]
+    rows += [(0, rows[0][1])] * 14 + [(5, rows[5][1])] * 3 + [(5, rng.getrandbits(64)), (7, rows[0][1] ^ 1)] * 2
+    rows += [(70 + i, rows[5][1] ^ 1 << i) for i in range(4)] * 5
+    frame = make([(i, c - 2**64 if c >> 63 else c) for i, c in rows], "id long, code long")
+    for k in (1, 4, 10):
+        found = binary_search.nearest(frame, frame.where("id in (0, 5, 9)"), k=k).collect()
+        for q in (0, 5, 9):
+            own = {c for i, c in rows if i == q}
+            want = sorted({((c ^ o).bit_count(), i) for i, c in rows if i != q for o in own})[:k]
+            assert [(r.distance, r.id) for r in sorted(found, key=lambda r: r.place) if r.query_id == q] == want
+
+
 def test_sign_codes(make):
     vector = [1.0 if i in (0, 5, 63) else -1.0 for i in range(64)]
     frame = make([(1, vector), (2, None), (3, [1.0]), (None, vector)], "vec_id long, embedding array<float>")

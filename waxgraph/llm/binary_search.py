@@ -74,14 +74,20 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both inputs have ``id, code``, a query is itself a row of ``codes`` or not; rows with
     its id are left out. Ties go to the smaller id. With fewer than ``k`` other rows all
-    of them are returned. Rows that repeat an id with other codes count each.
+    of them are returned. Rows that repeat an id with other codes count each; repeats of
+    one id and code are one row.
     """
     spark = prepare(codes.sparkSession)
     scratch = Scratch(spark)
-    # Of a code that very many rows have, k + 1 ids are all that can be returned.
+    # Of a code that very many ids have, k + 1 are all that can be returned.
     order = Window.partitionBy("code").orderBy("id")
-    holders = scratch.keep(codes.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("code", "id"))
-    distinct = scratch.keep(holders.groupBy("code").agg(F.count("*").alias("held")))
+    single = codes.select("code", "id").distinct()
+    holders = scratch.keep(single.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("code", "id"))
+    # Each id counts at its first code only: no sum over codes exceeds the ids they have.
+    counted = holders.groupBy("id").agg(F.min("code").alias("code")).groupBy("code").agg(F.count("*").alias("held"))
+    distinct = scratch.keep(
+        holders.select("code").distinct().join(counted, "code", "left").select("code", F.coalesce("held", F.lit(0)).alias("held"))
+    )
     segments = segments_for(distinct.count())
     index = scratch.keep(
         distinct.select("code", "held", F.explode(_values(F.col("code"), segments)).alias("s")).select("code", "held", "s.*")
@@ -99,6 +105,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             .groupBy("query", "code").agg(F.first("held").alias("held"))
         )
         met = scratch.keep(near.withColumn("distance", distance.cast("int")))
+        # Of more than k ids, one at most is the query's own.
         enough = met.groupBy("query").agg(F.sum("held").alias("held")).where(F.col("held") > k).select("query")
         if radius == widest:
             enough = active
