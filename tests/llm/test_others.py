@@ -133,6 +133,14 @@ def test_sample_is_bounded_and_skips_copies(make):
     assert list(found) == ["en"] and len(found["en"]) <= 5 * 21 and found["en"].count("same text") <= 1
 
 
+def test_lettered_texts_stay_whatever_the_labels(spark, make):
+    rows = [(1, "some text"), (2, "more text of another kind"), (3, "123 !"), (4, None), (5, "")]
+    for lang in (None, "und"):
+        docs = make(rows, "doc_id long, text string").withColumn("lang", F.lit(lang).cast("string")).withColumn("n_chars", F.lit(0).cast("long"))
+        found = corpus_pipeline.language_id(spark, docs, "")
+        assert found.columns == docs.columns and {r.doc_id for r in found.collect()} == {1, 2}
+
+
 # --- unigram pieces --------------------------------------------------------------------
 
 

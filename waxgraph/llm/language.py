@@ -155,10 +155,11 @@ class Parser:
             totals[k] = np.bincount(owner, counts[k], len(texts))
         return totals, sizes, lettered
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it has a letter."""
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            lettered = np.array([bool(self.letters[_code_points(t)].any()) for t in texts], bool)
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), lettered
         totals, sizes, lettered = self.phrases(texts)
         rates = totals * np.array(self.weights)[:, None] / np.maximum(sizes, 1)
         best = rates.argmin(axis=0)
@@ -167,7 +168,7 @@ class Parser:
         with np.errstate(invalid="ignore"):
             score = np.where(np.isinf(second), 1.0, second / np.maximum(ranked[0] + second, 1e-300))
         names = [self.languages[b] if has else UNDETERMINED for b, has in zip(best.tolist(), lettered.tolist())]
-        return names, np.where(lettered, score, 0.0)
+        return names, np.where(lettered, score, 0.0), lettered
 
 
 def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
@@ -201,11 +202,13 @@ def identify(
     texts: int = SAMPLE_TEXTS,
     chars: int = SAMPLE_CHARS,
     carry: bool = False,
+    flag: str | None = None,
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` for every document, learned from ``labelled`` (text, lang).
 
     With ``carry`` every column of ``docs`` is kept, followed by the two; columns of
-    their names are replaced.
+    their names are replaced. ``flag`` names one more column that says whether the text
+    has a letter, whatever could be learned.
 
     ``lang_pred`` is a language of the sample, or ``und`` with score 0 where the text is
     null, empty or without a letter, or where nothing could be learned. ``score`` is the
@@ -215,21 +218,24 @@ def identify(
     """
     spark = prepare(docs.sparkSession)
     model = spark.sparkContext.broadcast(learn(sample(labelled, texts, chars)))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")] if carry else []
+    added = ["lang_pred", "score", *([flag] if flag else [])]
+    kept = [c for c in docs.columns if c not in added] if carry else []
     plain = docs.select(
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)) if carry else [F.col(id_column).cast("long").alias("doc_id")],
         F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"),
     )
     schema = T.StructType([
         *plain.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        *([T.StructField(flag, T.BooleanType())] if flag else []),
     ])
 
     def rows(batches):
         parser = Parser(model.value)
         for batch in batches:
-            names, score = parser.predict(batch["text"].to_pylist())
+            names, score, lettered = parser.predict(batch["text"].to_pylist())
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())]
+            columns += [pa.array(lettered, pa.bool_())] if flag else []
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     found = plain.mapInArrow(rows, schema)
-    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "lang_pred", "score") if carry else found
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *added) if carry else found
