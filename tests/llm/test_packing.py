@@ -87,3 +87,15 @@ def test_shards_leave_few_loose_bins(spark, make):
     found = packing.pack(Scratch(prepare(spark)), rows, 4096, shard=300)
     total, used = found.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert used <= -(-total // 4096) + 3 and found.count() == 3000
+
+
+def test_rows_without_ids_keep_the_bound_of_a_shard(spark, make):
+    from waxgraph.llm.common import Scratch, prepare
+
+    rng = random.Random(6)
+    rows = [(None if i % 3 else 7 if i % 2 else i, 0, 0, rng.randint(1, 900), 0) for i in range(6000)]
+    scratch = Scratch(prepare(spark))
+    stored = scratch.keep(make(rows, packing.PIECES))
+    assert packing._dealt(stored, 20).groupBy("shard").count().agg(F.max("count")).first()[0] < 600
+    total, used, n = packing.pack(scratch, stored, 4096, shard=300).agg(F.sum("length"), F.count_distinct("sequence_id"), F.count("*")).first()
+    assert n == 6000 and used <= -(-total // 4096) + 3

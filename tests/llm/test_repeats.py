@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waxgraph.llm import repeats
 
@@ -68,3 +69,20 @@ def test_spans_are_positions_in_the_text(make):
     (span,) = found[2].spans
     assert (span.start, span.end) == (7, 7 + len(shared)) and bytes(found[2].kept) == b"before  after"
     assert found[1].spans == []
+
+
+def test_repeats_of_one_row_are_dealt_over_blocks(spark, make, monkeypatch):
+    from waxgraph.llm.common import Scratch, prepare
+
+    monkeypatch.setattr(repeats, "LEAST_BLOCK", 4000)
+    monkeypatch.setattr(repeats, "BLOCK_ROOT", 1)
+    common = "a passage that a third of all rows have, without any id, and that is long enough "
+    rows = [(None if i % 3 == 0 else i, common if i % 3 == 0 else f"text number {i} " * 6) for i in range(900)] + [(1000, common + "end")]
+    docs = make(rows, "doc_id long, text string")
+    dealt, count = repeats._dealt(Scratch(prepare(spark)), docs)
+    largest = dealt.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0]
+    assert count > 10 and largest < 3 * 4000
+    found = repeats.remove_repeats(docs).collect()
+    assert len(found) == len(rows)
+    assert {len(r.kept) for r in found if r.doc_id is None} == {0}
+    assert [len(r.kept) for r in found if r.doc_id == 1000] == [len(common) + 3]

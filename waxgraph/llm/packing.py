@@ -215,9 +215,13 @@ def _pack_shard(limit: int, stage: int):
     return packed
 
 
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of a stored table with their ``shard``; those of one id or none are told apart by their place in it."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.monotonically_increasing_id()), F.lit(shards)))
+
+
 def _pack(rows: DataFrame, count: int, limit: int, shard: int, stage: int) -> DataFrame:
-    shards = parts_for(count, shard)
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)))
+    dealt = _dealt(rows, parts_for(count, shard))
     return dealt.groupBy("shard").applyInArrow(_pack_shard(limit, stage), PACKED)
 
 

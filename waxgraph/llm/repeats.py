@@ -386,6 +386,29 @@ def _cut(width: int, buckets: int, schema: pa.Schema):
     return cut
 
 
+def _dealt(scratch: Scratch, plain: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of ``doc_id, text, ...`` with their ``block``, and how many blocks there are.
+
+    Rows go by a hash of id and text. Where repeats of one row alone would fill a good
+    part of a block, the rows are stored first and dealt by their place in that table as
+    well: it has to be the same each time they are read.
+    """
+    repeated = plain.groupBy(F.xxhash64("doc_id", "text").alias("row")).agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"), F.count("*").alias("n")
+    )
+    total, heaviest = repeated.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max(F.when(F.col("n") > 1, F.col("bytes"))), F.lit(0))
+    ).first()
+    each = min(MOST_BLOCK, max(LEAST_BLOCK, math.isqrt(total * BLOCK_ROOT)))
+    count = parts_for(total, each)
+    salt = []
+    if heaviest > each // 8 and count > 1:
+        plain = scratch.keep(plain.withColumn("salt", F.monotonically_increasing_id()))
+        salt = ["salt"]
+    block = F.pmod(F.xxhash64("doc_id", "text", *salt), F.lit(count)).cast("int").alias("block")
+    return plain.select(block, "*").drop("salt"), count
+
+
 def remove_repeats(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -414,12 +437,8 @@ def remove_repeats(
         F.col(f"`{text_column}`").alias("text"),
         *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(carried) if f.name != text_column),
     )
-    total = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    each = min(MOST_BLOCK, max(LEAST_BLOCK, math.isqrt(total * BLOCK_ROOT)))
-    count = parts_for(total, each)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int").alias("block")
-    blocks = plain.select(block, "*")
-    narrow = plain.select(block, "doc_id", "text")
+    blocks, count = _dealt(scratch, plain)
+    narrow = blocks.select("block", "doc_id", "text")
 
     sent = narrow.groupBy("block").applyInArrow(_send_anchors(width, count), SENT)
     shared = scratch.keep(sent.groupBy("bucket").applyInArrow(_find_shared, ANSWERS))
