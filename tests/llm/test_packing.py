@@ -99,3 +99,14 @@ def test_rows_without_ids_keep_the_bound_of_a_shard(spark, make):
     assert packing._dealt(stored, 20).groupBy("shard").count().agg(F.max("count")).first()[0] < 600
     total, used, n = packing.pack(scratch, stored, 4096, shard=300).agg(F.sum("length"), F.count_distinct("sequence_id"), F.count("*")).first()
     assert n == 6000 and used <= -(-total // 4096) + 3
+
+
+def test_loose_bins_are_pooled_until_they_fit_one_shard(spark, make):
+    from waxgraph.llm.common import Scratch, prepare
+
+    rng = random.Random(7)
+    lengths = [rng.randint(1200, 2900) for _ in range(4000)]
+    found = packing.pack(Scratch(prepare(spark)), make([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES), 4096, shard=40)
+    stages = found.select(F.shiftright("sequence_id", 56).alias("s")).distinct().count()
+    assert stages > 2 and found.count() == 4000
+    assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0

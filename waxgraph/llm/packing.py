@@ -3,7 +3,7 @@
 A bin is filled greedily with the longest piece that fits. Then its smallest piece is
 replaced by two unpacked pieces that fill the widened gap more tightly, as long as such a
 pair exists. Pieces are dealt to shards of bounded size by a hash and packed there; what
-ends up in loose bins is pooled and packed once more.
+ends up in loose bins is pooled and packed again, until that frees no more of them.
 """
 
 from __future__ import annotations
@@ -227,10 +227,20 @@ def _pack(rows: DataFrame, count: int, limit: int, shard: int, stage: int) -> Da
 
 def pack(scratch: Scratch, rows: DataFrame, limit: int = LIMIT, shard: int = SHARD) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``: sequences hold up to ``limit`` tokens without gaps."""
-    first = scratch.keep(_pack(rows, rows.count(), limit, shard, 0))
-    loose = first.where(F.col("fill") < limit - LOOSE)
-    again = _pack(loose.drop("sequence_id", "offset", "fill"), loose.count(), limit, shard, 1)
-    return first.where(F.col("fill") >= limit - LOOSE).unionByName(again).drop("fill")
+    whole, stage = rows.count(), 0
+    found = scratch.keep(_pack(rows, whole, limit, shard, stage))
+    closed = []
+    while True:
+        loose = found.where(F.col("fill") < limit - LOOSE).drop("sequence_id", "offset", "fill")
+        left = loose.count()
+        if whole <= shard or left == whole:
+            break
+        closed.append(found.where(F.col("fill") >= limit - LOOSE))
+        whole, stage = left, stage + 1
+        found = scratch.keep(_pack(loose, whole, limit, shard, stage))
+    for part in closed:
+        found = found.unionByName(part)
+    return found.drop("fill")
 
 
 def packed_documents(
