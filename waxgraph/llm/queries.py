@@ -11,11 +11,14 @@ from waxgraph.llm import (
     language,
     order_minhash,
     packing,
+    prefix_trie,
     repeats,
     simhash,
     templates,
     unigram,
     url_lists,
+    vantage,
+    vector_codes,
     warc,
 )
 
@@ -127,3 +130,26 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source_id").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "date", "source_digest",
         "block_digest", "n_links", F.md5("record").alias("record_md5"), "error",
     )
+
+
+@query
+def op11_walsh_hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.rows.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256")
+    )
+
+
+@query
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    heads = F.crc32(conv.cast("string").cast("binary")) % 6
+    nodes = prefix_trie.build(prefix_trie.with_heads(numbered, conv - conv % 100, heads, most=5))
+    return nodes.drop("key")
+
+
+@query
+def op13_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vantage.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
