@@ -7,6 +7,7 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,31 @@ def test_nearest_with_repeated_rows_and_two_codes(make):
             assert [(r.distance, r.id) for r in sorted(found, key=lambda r: r.place) if r.query_id == q] == want
 
 
+def test_many_queries_at_larger_radii_and_clashing_columns(make):
+    """A thousand queries of random codes: no neighbour is near, so radii grow, and no probe is broadcast."""
+    rng = np.random.default_rng(13)
+    codes = rng.integers(-(2**63), 2**63 - 1, 200_000)
+    spark = make([(1,)], "x int").sparkSession
+    table = spark.createDataFrame(
+        pd.DataFrame({"id": np.arange(len(codes)), "code": codes}), "id long, code long"
+    ).withColumns({"query": F.lit("x"), "held": F.lit(0), "segment": F.lit(1), "value": F.lit(2), "distance": F.lit(3)})
+    found = binary_search.nearest(table, table.where("id % 200 = 0"), k=5).toPandas()
+    assert len(found) == 1000 * 5
+    got = found.sort_values(["query_id", "place"]).groupby("query_id")
+    for q, rows in list(got)[::20]:
+        far = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int)
+        far[q] = 99
+        best = np.lexsort((np.arange(len(codes)), far))[:5]
+        assert rows.id.tolist() == best.tolist() and rows.distance.tolist() == far[best].tolist()
+
+
+def test_flips_are_those_of_one_radius():
+    for radius in range(5):
+        masks = np.concatenate(list(binary_search._flips(9, radius)) or [[]])
+        assert len(set(masks.tolist())) == len(masks) and all(int(m).bit_count() == radius for m in masks)
+    assert len(binary_search.segments_for(10**12)) == 2 and len(binary_search.segments_for(500)) == 8
+
+
 def test_sign_codes(make):
     vector = [1.0 if i in (0, 5, 63) else -1.0 for i in range(64)]
     frame = make([(1, vector), (2, None), (3, [1.0]), (None, vector)], "vec_id long, embedding array<float>")

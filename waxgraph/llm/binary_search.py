@@ -9,15 +9,18 @@ that the radius covers; only queries that lack neighbours go on to the next one.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from waxgraph.llm.common import BATCH_ROWS, Scratch, prepare
+from waxgraph.llm.common import Scratch, prepare
 
 BITS = 64
+# Probes in one batch.
+PROBES = 1 << 16
 _PROBES = pa.schema([("query", pa.int64()), ("segment", pa.int32()), ("value", pa.int64())])
 
 
@@ -34,8 +37,12 @@ def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
 
 
 def segments_for(codes: int) -> list[tuple[int, int]]:
-    """Offset and width of each segment; about as wide as the logarithm of the number of codes."""
-    wide = min(16, max(4, round(math.log2(max(codes, 2)))))
+    """Offset and width of each segment; about as wide as the logarithm of the number of codes.
+
+    So a value of a segment has about one code, however many codes there are, up to two
+    segments of half a code.
+    """
+    wide = min(BITS // 2, max(4, round(math.log2(max(codes, 2)))))
     count = math.ceil(BITS / wide)
     edges = [BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
@@ -48,23 +55,29 @@ def _values(code, segments):
     ))
 
 
+def _flips(width: int, radius: int) -> Iterator[np.ndarray]:
+    """Masks of exactly ``radius`` of ``width`` bits, some at a time."""
+    masks = (sum(1 << b for b in bits) for bits in combinations(range(width), radius))
+    while some := list(islice(masks, PROBES)):
+        yield np.array(some, np.int64)
+
+
 def _probes(segments: list[tuple[int, int]], radius: int):
-    flips = [
-        np.array([sum(1 << b for b in bits) for r in range(min(radius, width) + 1) for bits in combinations(range(width), r)], np.int64)
-        for _, width in segments
-    ]
+    """Values of each segment that differ from the query's in exactly ``radius`` bits."""
 
     def rows(batches):
         for batch in batches:
             queries = batch["query"].to_numpy()
             for i, (offset, width) in enumerate(segments):
-                for start in range(0, len(queries), max(1, 64 * BATCH_ROWS // len(flips[i]))):
-                    some = queries[start : start + max(1, 64 * BATCH_ROWS // len(flips[i]))]
-                    own = (some.view(np.uint64) >> np.uint64(offset)).astype(np.int64) & ((1 << width) - 1)
-                    values = (own[:, None] ^ flips[i]).ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [np.repeat(some, len(flips[i])), np.full(len(values), i, np.int32), values], schema=_PROBES
-                    )
+                own = (queries.view(np.uint64) >> np.uint64(offset)).astype(np.int64) & ((1 << width) - 1)
+                for masks in _flips(width, radius):
+                    each = max(1, PROBES // len(masks))
+                    for start in range(0, len(queries), each):
+                        some = queries[start : start + each]
+                        values = (own[start : start + each, None] ^ masks).ravel()
+                        yield pa.RecordBatch.from_arrays(
+                            [np.repeat(some, len(masks)), np.full(len(values), i, np.int32), values], schema=_PROBES
+                        )
 
     return rows
 
@@ -95,25 +108,31 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = scratch.keep(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct())
     active = scratch.keep(asked.select("query").distinct())
     widest = max(width for _, width in segments)
-    found = []
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
+    # Ids at smaller distances: with more than k of them a code holds nothing better.
+    nearer = F.sum("held").over(Window.partitionBy("query").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1))
+    met, found = None, []
     for radius in range(widest + 1):
         covered = len(segments) * (radius + 1) - 1 if radius < widest else BITS
-        probes = active.mapInArrow(_probes(segments, radius), "query long, segment int, value long")
-        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        near = (
-            probes.join(index, ["segment", "value"]).where(distance <= covered)
-            .groupBy("query", "code").agg(F.first("held").alias("held"))
-        )
-        met = scratch.keep(near.withColumn("distance", distance.cast("int")))
+        # Probes grow with the radius, whatever Spark thinks of their size: both sides are sorted.
+        probes = active.mapInArrow(_probes(segments, radius), "query long, segment int, value long").hint("merge")
+        near = probes.join(index, ["segment", "value"]).select("query", "code", "held", distance.alias("distance"))
+        # What earlier radii met is kept: a probe is sent once.
+        near = near.union(met.select(*near.columns).join(active, "query", "left_semi")) if met is not None else near
+        near = near.repartition("query").groupBy("query", "code").agg(*(F.first(c).alias(c) for c in ("held", "distance")))
+        nearest_few = near.withColumn("nearer", nearer).where(F.coalesce("nearer", F.lit(0)) <= k).drop("nearer")
+        before, met = met, scratch.keep(nearest_few)
         # Of more than k ids, one at most is the query's own.
-        enough = met.groupBy("query").agg(F.sum("held").alias("held")).where(F.col("held") > k).select("query")
-        if radius == widest:
-            enough = active
-        done = scratch.keep(enough)
-        found.append(met.join(done, "query"))
-        active = scratch.keep(active.join(done, "query", "left_anti"))
+        covers = met.where(F.col("distance") <= covered)
+        enough = covers.groupBy("query").agg(F.sum("held").alias("held")).where(F.col("held") > k).select("query")
+        done = scratch.keep(enough if radius < widest else active)
+        found.append(scratch.keep(met.where(F.col("distance") <= covered).join(done, "query", "left_semi").select("query", "code", "distance")))
+        left = scratch.keep(active.join(done, "query", "left_anti"))
+        scratch.drop(active, done, *([before] if before is not None else []))
+        active = left
         if active.isEmpty():
             break
+    scratch.drop(active, met, index)
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
