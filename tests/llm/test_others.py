@@ -232,6 +232,82 @@ def test_short_lines_go_by_their_exact_text(spark, make):
     assert all(found[i] == f"Page {i}\n{i}\n\n{'abcdefghij'[i] * 3} is text of its own\nNine here" for i in range(1, 10))
 
 
+def test_a_leaf_holds_several_templates(make):
+    """Five templates of one opening, none on half of the leaf, and lines that belong to none."""
+    names = "ant bee cow dog eel fox gnu hen ibis jay kea lynx".split()
+    heads = ["sold by", "seen near", "kept with", "read about", "left behind"]
+    rows = []
+    for i, name in enumerate(names):
+        lines = [f"This one was {head} {name} and other {name} friends" for head in heads]
+        rows.append((i, "\n".join([*lines, f"This one was {name}x {name}y {name}z {name}u {name}v {name}w"])))
+    found = templates.drop_recurring(make(rows, "doc_id long, text string")).collect()
+    assert [r.n_dropped for r in sorted(found)] == [0] + [5] * 11
+    assert all(r.text == rows[r.doc_id][1].split("\n")[-1] for r in found if r.doc_id)
+
+
+def test_short_lines_go_where_asked_for(make):
+    rows = [(i, f"All rights reserved.\ntext {'abcdefghijkl'[i]}") for i in range(12)]
+    found = templates.drop_recurring(make(rows, "doc_id long, text string"), short_lines=True).collect()
+    assert [r.n_dropped for r in sorted(found)] == [0] + [1] * 11
+
+
+def lines_by_hand(rows, least_docs=10):
+    """The rule in plain steps: leaf, majority, the token that groups the rest, majority, documents."""
+    shaped = []
+    for doc, text in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            tokens = line.replace("\t", " ").replace("\r", " ").split(" ")
+            tokens = [t for t in tokens if t]
+            if tokens:
+                general = ["<*>" if any(c in "0123456789" for c in t) else t for t in tokens]
+                shaped.append((doc, n, tuple(general if len(tokens) >= 4 else tokens)))
+    leaves = {}
+    for _, _, shape in shaped:
+        leaves.setdefault((len(shape), shape[:3]), set()).add(shape)
+    template = {shape: ("own", shape) for _, _, shape in shaped}
+    for (size, head), shapes in leaves.items():
+        if size < 4:
+            continue
+        def belonging(some):
+            counts = Counter((p, s[p]) for s in some for p in range(3, size))
+            usual = {x for x, c in counts.items() if c * 2 > len(some) > 1}
+            equal = {s: [p for p in range(3, size) if (p, s[p]) in usual] for s in some}
+            return usual, {s for s, e in equal.items() if len(e) >= (size - 3) * 0.5 and any(s[p] != "<*>" for p in e)}
+
+        usual, first = belonging(shapes)
+        template |= {s: ("leaf", size, head) for s in first}
+        rest = shapes - first
+        n = Counter((p, s[p]) for s in rest for p in range(3, size) if s[p] != "<*>" and (p, s[p]) not in usual)
+        groups = {}
+        for s in rest:
+            shared = [(-n[p, s[p]], p) for p in range(3, size) if n[p, s[p]] > 1]
+            if shared:
+                p = min(shared)[1]
+                groups.setdefault((p, s[p]), []).append(s)
+        for group, some in groups.items():
+            template |= {s: ("group", size, head, group) for s in belonging(some)[1]}
+    docs = {}
+    for doc, _, shape in shaped:
+        docs.setdefault(template[shape], set()).add(doc)
+    gone = {(d, n) for d, n, s in shaped if len(docs[template[s]]) >= least_docs and d != min(docs[template[s]])}
+    return {d: "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone) for d, t in rows}
+
+
+def test_line_dedup_equals_brute_force(make):
+    rng = random.Random(21)
+    words = "red blue the a of cat dog ran sat".split()
+    openings = ["Read more in", "Posted by the", "one two three"]
+    rows = []
+    for doc in range(80):
+        lines = []
+        for _ in range(6):
+            tail = [rng.choice(words[:4]) if rng.random() < 0.6 else rng.choice(words + [f"{rng.randrange(9)}x"]) for _ in range(rng.randint(0, 4))]
+            lines.append(" ".join([rng.choice(openings), *tail]) if rng.random() < 0.8 else rng.choice(["Menu", "12", "", " \t", "a b"]))
+        rows.append((doc, "\n".join(lines)))
+    found = templates.drop_recurring(make(rows, "doc_id long, text string"), short_lines=True).collect()
+    assert {r.doc_id: r.text for r in found} == lines_by_hand(rows)
+
+
 # --- URL lists -------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from waxgraph.llm.common import prepare
+from waxgraph.llm.common import Scratch, prepare
 
 # The sample: this many texts of each language, and this many characters of each.
 SAMPLE_TEXTS = 32
@@ -173,16 +173,17 @@ class Parser:
 
 def sample(labelled: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """Bounded sample of ``text, lang``: for each language the starts of some distinct texts, picked by hash."""
-    hashed = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    hashed = labelled.where("text is not null and lang is not null").select(
+        "lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("head")
+    )
     ranked = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).selectExpr(
         "lang", "h", "row_number() over (partition by lang order by h) as place"
     )
-    picked = ranked.where(F.col("place") <= texts).select("lang", "h")
-    heads = (
-        hashed.join(picked, ["lang", "h"])
-        .groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars)).alias("head"))
-        .orderBy("lang", "h").collect()
-    )
+    # A stored table of a few rows a language: it goes to the texts, and no text is shuffled.
+    scratch = Scratch(labelled.sparkSession)
+    picked = scratch.keep(ranked.where(F.col("place") <= texts).select("lang", "h"))
+    heads = hashed.join(picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("head").alias("head")).orderBy("lang", "h").collect()
+    scratch.drop(picked)
     found: dict[str, str] = {}
     for row in heads:
         found[row.lang] = found.get(row.lang, "") + row.head + "\n"

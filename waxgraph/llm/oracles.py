@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
-# Boilerplate: depth 3, similarity 0.5, ten documents, four tokens.
+# Boilerplate: depth 3, similarity 0.5, ten documents, exact tokens below four.
 LINES = """
 lines AS (
   SELECT doc_id, unnest(range(0, len(parts))) AS line_no, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {source} WHERE text IS NOT NULL)
 ),
 tokens AS (
-  SELECT doc_id, line_no,
-         list_transform(
-           list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> ''),
-           lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS shape
+  SELECT doc_id, line_no, list_filter(string_split(translate(line, chr(9) || chr(13), '  '), ' '), lambda t: t <> '') AS parts
   FROM lines
 ),
 judged AS (
-  SELECT doc_id, line_no, shape, len(shape) AS size, shape[1:3] AS leaf FROM tokens WHERE len(shape) >= 4
+  SELECT doc_id, line_no, len(parts) AS size, shape[1:3] AS leaf, shape
+  FROM (SELECT doc_id, line_no, parts,
+               CASE WHEN len(parts) < 4 THEN parts
+                    ELSE list_transform(parts, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) END AS shape
+        FROM tokens WHERE len(parts) > 0)
 ),
 shapes AS (SELECT size, leaf, shape FROM judged GROUP BY ALL),
-leaves AS (SELECT size, leaf, count(*) AS shapes FROM shapes GROUP BY ALL),
 spread AS (
-  SELECT size, leaf, shape, unnest(range(4, len(shape) + 1)) AS place, unnest(shape[4:]) AS token FROM shapes
+  SELECT size, leaf, shape, unnest(range(4, len(shape) + 1)) AS place, unnest(shape[4:]) AS token FROM shapes WHERE size >= 4
 ),
-kept AS (
-  SELECT s.size, s.leaf, s.place, s.token
-  FROM spread s JOIN leaves l ON s.size = l.size AND s.leaf = l.leaf
-  WHERE l.shapes > 1
-  GROUP BY s.size, s.leaf, s.place, s.token, l.shapes HAVING count(*) * 2 > l.shapes
+sized AS (SELECT size, leaf, count(*) AS shapes FROM shapes WHERE size >= 4 GROUP BY ALL),
+usual AS (
+  SELECT s.size, s.leaf, s.place, s.token FROM spread s JOIN sized z ON s.size = z.size AND s.leaf = z.leaf
+  WHERE z.shapes > 1 GROUP BY s.size, s.leaf, s.place, s.token, z.shapes HAVING count(*) * 2 > z.shapes
 ),
-equals AS (
-  SELECT s.size, s.leaf, s.shape, count(*) AS equal
-  FROM spread s JOIN kept k ON s.size = k.size AND s.leaf = k.leaf AND s.place = k.place AND s.token = k.token
+firsts AS (
+  SELECT s.size, s.leaf, s.shape
+  FROM spread s JOIN usual u ON s.size = u.size AND s.leaf = u.leaf AND s.place = u.place AND s.token = u.token
   GROUP BY s.size, s.leaf, s.shape
+  HAVING count(*) >= (s.size - 3) * 0.5 AND count(*) FILTER (WHERE s.token <> '<*>') > 0
+),
+others AS (SELECT s.* FROM spread s ANTI JOIN firsts f ON s.size = f.size AND s.leaf = f.leaf AND s.shape = f.shape),
+telling AS (
+  SELECT o.* FROM others o
+  ANTI JOIN usual u ON o.size = u.size AND o.leaf = u.leaf AND o.place = u.place AND o.token = u.token
+  WHERE o.token <> '<*>'
+),
+choices AS (
+  SELECT *, row_number() OVER (PARTITION BY size, leaf, shape ORDER BY n DESC, place) AS choice
+  FROM (SELECT *, count(*) OVER (PARTITION BY size, leaf, place, token) AS n FROM telling)
+  WHERE n > 1
+),
+grouped AS (
+  SELECT size, leaf, shape, place AS spot, token AS word, count(*) OVER (PARTITION BY size, leaf, place, token) AS shapes
+  FROM choices WHERE choice = 1
+),
+inside AS (
+  SELECT s.*, g.spot, g.word, g.shapes FROM others s JOIN grouped g ON s.size = g.size AND s.leaf = g.leaf AND s.shape = g.shape
+),
+shares AS (
+  SELECT *, shapes > 1 AND count(*) OVER (PARTITION BY size, leaf, spot, word, place, token) * 2 > shapes AS kept FROM inside
+),
+members AS (
+  SELECT size, leaf, shape, 0 AS spot, '' AS word FROM firsts
+  UNION ALL
+  SELECT size, leaf, shape, spot, word FROM shares WHERE kept
+  GROUP BY ALL HAVING count(*) >= (size - 3) * 0.5 AND count(*) FILTER (WHERE token <> '<*>') > 0
 ),
 templates AS (
   SELECT s.size, s.leaf, s.shape,
-         CASE WHEN l.shapes > 1 AND coalesce(e.equal, 0) + 3 >= s.size * 0.5 THEN ['<template>'] ELSE s.shape END AS template
-  FROM shapes s
-  JOIN leaves l ON s.size = l.size AND s.leaf = l.leaf
-  LEFT JOIN equals e ON s.size = e.size AND s.leaf = e.leaf AND s.shape = e.shape
+         CASE WHEN m.word IS NULL THEN list_prepend('own', s.shape) ELSE ['group', CAST(m.spot AS VARCHAR), m.word] END AS template
+  FROM shapes s LEFT JOIN members m ON s.size = m.size AND s.leaf = m.leaf AND s.shape = m.shape
 ),
 placed AS (
   SELECT j.doc_id, j.line_no, t.size, t.leaf, t.template FROM judged j JOIN templates t ON j.shape = t.shape

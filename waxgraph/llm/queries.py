@@ -78,7 +78,7 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = templates.drop_recurring(table(spark, sf_dir, "documents"))
+    found = templates.drop_recurring(table(spark, sf_dir, "documents"), short_lines=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 

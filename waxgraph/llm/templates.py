@@ -1,11 +1,14 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations alone.
 
 A line becomes its shape: the tokens, with ``<*>`` for those that hold a digit. The tree
-has three levels: token count, leading tokens, template. A leaf's template keeps a token
-where more than half of the leaf's distinct shapes have it, and ``<*>`` elsewhere; shapes
-that match it in a large enough part belong to it, the others are templates of their own.
-A template that occurs in many documents is boilerplate: its lines go, except in the
-first document that has it.
+has three levels: token count, leading tokens, template. A template keeps a token where
+more than half of its distinct shapes have it, and ``<*>`` elsewhere; shapes that match it
+in a large enough part belong to it. A leaf first has one template of all its shapes. Those
+that do not belong go by the most frequent of their tokens that less than half of the leaf
+have, and each such group has a template again; what is then left are templates of their
+own. A template that occurs in many documents is boilerplate: its lines go, except in the
+first document that has it. Short lines have no variable fields: they go by their exact
+tokens.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from waxgraph.llm.common import Scratch, prepare
 # Leading tokens in the tree; part of a line that must equal its leaf's template.
 DEPTH = 3
 SIMILARITY = 0.5
-# Documents from which a template is boilerplate; shorter lines are only judged on demand.
+# Documents from which a template is boilerplate; lines of fewer tokens are judged as they are.
 LEAST_DOCS = 10
 LEAST_TOKENS = 4
 VARIABLE = "<*>"
@@ -60,39 +63,56 @@ def _shapes(rows: DataFrame, depth: int, exact_below: int = 0) -> DataFrame:
 
 
 def _members(
-    scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int,
-    least_tokens: int, count_leading: bool, exact_below: int,
+    scratch: Scratch, rows: DataFrame, seen: DataFrame, depth: int, similarity: float, least_docs: int, least_tokens: int
 ) -> DataFrame:
-    """``leaf, shape`` of the shapes that belong to their leaf's template.
+    """``leaf, shape, group`` of the shapes that belong to the template of a group in their leaf.
 
     Only leaves with several shapes and enough documents can matter, so only their lines
-    are looked at again.
+    are looked at again. The leading tokens are equal by construction and count for nothing.
     """
     shapes = seen.groupBy("leaf", "shape").agg(F.count("*").alias("docs"))
     leaves = shapes.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count("*").alias("shapes"))
-    crowded = scratch.keep(leaves.where((F.col("docs") >= least_docs) & (F.col("shapes") > 1)).select("leaf", "shapes"))
-    lines = _shapes(rows, depth, exact_below).select("leaf", "shape", "size", "text")
-    known = lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "shapes", "text").agg(F.lit(1).alias("one"))
+    crowded = scratch.keep(leaves.where((F.col("docs") >= least_docs) & (F.col("shapes") > 1)).select("leaf"))
+    lines = _shapes(rows, depth, least_tokens).select("leaf", "shape", "size", "text")
+    known = lines.join(crowded, "leaf").groupBy("leaf", "shape", "size", "text").agg(F.lit(1).alias("one"))
     # The leaves hold the token count, so short lines are out; a filter on it would be
     # moved below the join and build every shape again.
     known = scratch.keep(known)
-    spread = known.select("leaf", "shape", "size", "shapes", F.posexplode(F.split("text", " ")).alias("place", "token")).where(
-        F.col("place") >= depth
+    spread = known.where(F.col("size") >= least_tokens).select(
+        "leaf", "shape", "size", F.posexplode(F.split("text", " ")).alias("place", "token")
+    ).where(F.col("place") >= depth)
+    spread = scratch.keep(spread)
+    whole = spread.withColumn("group", F.lit(0).cast("long"))
+    usual, first = _belonging(scratch, whole, depth, similarity)
+    rest = scratch.keep(spread.join(first, ["leaf", "shape"], "left_anti"))
+    # What most of the leaf share does not tell its templates apart.
+    often = (
+        rest.where(F.col("token") != VARIABLE).join(usual, ["leaf", "place", "token"], "left_anti")
+        .groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).where("n > 1")
     )
-    kept = (
-        spread.groupBy("leaf", "shapes", "place", "token").agg(F.count("*").alias("n"))
-        .where(F.col("n") * 2 > F.col("shapes"))
-        .select("leaf", "place", "token")
+    # Of equally frequent tokens the one farther to the left.
+    most = F.max(F.struct("n", (-F.col("place")).alias("left"), "token"))
+    grouped = rest.join(often, ["leaf", "place", "token"]).groupBy("leaf", "shape").agg(most.alias("most")).select(
+        "leaf", "shape", F.xxhash64("most.left", "most.token").alias("group")
     )
-    equal = spread.join(kept, ["leaf", "place", "token"]).groupBy("leaf", "shape").agg(
+    more, second = _belonging(scratch, scratch.keep(rest.join(grouped, ["leaf", "shape"])), depth, similarity)
+    scratch.drop(crowded, known, spread, rest, usual, more)
+    return first.union(second)
+
+
+def _belonging(scratch: Scratch, placed: DataFrame, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of each group of shapes the tokens that more than half have, and the shapes that match them."""
+    sizes = placed.groupBy("leaf", "group").agg(F.count_distinct("shape").alias("shapes"))
+    kept = scratch.keep(
+        placed.groupBy("leaf", "group", "place", "token").agg(F.count("*").alias("n"))
+        .join(sizes, ["leaf", "group"]).where((F.col("n") * 2 > F.col("shapes")) & (F.col("shapes") > 1))
+        .select("leaf", "group", "place", "token")
+    )
+    equal = placed.join(kept, ["leaf", "group", "place", "token"]).groupBy("leaf", "shape", "group", "size").agg(
         F.count("*").alias("equal"), F.count_if(F.col("token") != VARIABLE).alias("constants")
     )
-    matched = known.select("leaf", "shape", "size").join(equal, ["leaf", "shape"], "left")
-    if count_leading:
-        belongs = F.coalesce("equal", F.lit(0)) + depth >= F.col("size") * similarity
-    else:
-        belongs = (F.col("equal") >= (F.col("size") - depth) * similarity) & (F.col("constants") > 0)
-    return matched.where(belongs & (F.col("size") >= least_tokens)).select("leaf", "shape")
+    belongs = (F.col("equal") >= (F.col("size") - depth) * similarity) & (F.col("constants") > 0)
+    return kept, scratch.keep(equal.where(belongs).select("leaf", "shape", "group"))
 
 
 def drop_recurring(
@@ -103,48 +123,46 @@ def drop_recurring(
     similarity: float = SIMILARITY,
     least_docs: int = LEAST_DOCS,
     least_tokens: int = LEAST_TOKENS,
-    count_leading: bool = True,
     short_lines: bool = False,
 ) -> DataFrame:
     """Every row of ``docs``, its text without boilerplate lines, with ``n_lines, n_dropped``.
 
     Lines end with a line feed. A document whose lines all go keeps an empty text. A null
-    text stays null, has no lines and loses none; an empty one has one empty line. Rows
-    with the same id are one document, and so are all rows with a null id, which come
-    last. All other columns are kept, whatever their names; those named like the two
-    counts are replaced. An empty table gives an empty result.
-
-    The leading tokens are equal in a leaf by construction. With ``count_leading`` they
-    count towards ``similarity``, as in the SQL twin; without, only the positions after
-    them do, and one token there must be an equal constant. With ``short_lines``, lines of
-    fewer than ``least_tokens`` tokens, but at least one, are judged too, each by its exact tokens.
+    text stays null, has no lines and loses none; an empty one has one empty line. Lines
+    without a token stay. Rows with the same id are one document, and so are all rows with
+    a null id, which come last. All other columns are kept, whatever their names; those
+    named like the two counts are replaced. An empty table gives an empty result.
+
+    A shape belongs to a template if ``similarity`` of the positions after the ``depth``
+    leading tokens equal it, and one constant among them. Lines of fewer than
+    ``least_tokens`` tokens are judged by their exact tokens with ``short_lines``, and
+    stay without.
     """
     scratch = Scratch(prepare(docs.sparkSession))
     identity = F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(NO_ID))
     rows = docs.select(identity.alias("id"), F.col(f"`{text_column}`").alias("text")).where("text is not null")
-    exact_below, least = (least_tokens, 1) if short_lines else (0, least_tokens)
-    # Short lines are left out after the table: a filter before it would do the work twice.
-    lines = scratch.keep(_shapes(rows, depth, exact_below).drop("text")).where(F.col("size") >= least).drop("size")
+    shaped = scratch.keep(_shapes(rows, depth, least_tokens).drop("text"))
+    # Lines are left out after the table: a filter before it would do the work twice.
+    lines = shaped.where(F.col("size") >= (1 if short_lines else least_tokens)).drop("size")
     seen = scratch.keep(lines.select("id", "leaf", "shape").distinct())
-    members = _members(
-        scratch, rows, seen, depth, similarity, least_docs, least_tokens, count_leading, exact_below
-    ).withColumn("generalised", F.lit(True))
-    # A shape outside its leaf's template is a template by itself.
-    own = F.when(F.col("generalised"), F.lit(0)).otherwise(F.col("shape"))
+    members = _members(scratch, rows, seen, depth, similarity, least_docs, least_tokens)
+    # A shape outside its group's template is a template by itself.
     templates = scratch.keep(
-        seen.groupBy("leaf", "shape").agg(F.lit(1).alias("one")).join(members, ["leaf", "shape"], "left")
-        .select("leaf", "shape", own.alias("template"))
+        seen.groupBy("leaf", "shape").agg(F.lit(1).alias("one")).join(members, ["leaf", "shape"], "left").select(
+            "leaf", "shape", F.col("group").isNotNull().alias("general"), F.coalesce("group", "shape").alias("template")
+        )
     )
-    docs_of = seen.join(templates, ["leaf", "shape"]).select("leaf", "template", "id").distinct()
+    docs_of = seen.join(templates, ["leaf", "shape"]).select("leaf", "general", "template", "id").distinct()
     recurring = (
-        docs_of.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
+        docs_of.groupBy("leaf", "general", "template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
         .where(F.col("docs") >= least_docs)
     )
-    gone = scratch.keep(templates.join(recurring, ["leaf", "template"]).select("leaf", "shape", "first"))
-    dropped = (
+    gone = scratch.keep(templates.join(recurring, ["leaf", "general", "template"]).select("leaf", "shape", "first"))
+    dropped = scratch.keep(
         lines.join(gone, ["leaf", "shape"]).where("id <> first")
         .groupBy("id", "print").agg(F.collect_set("line_no").alias("dropped"))
     )
+    scratch.drop(shaped, seen, templates, gone)
 
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
