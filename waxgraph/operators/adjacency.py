@@ -98,6 +98,20 @@ def adjacency(edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
     return _first_edges(_near(edges), cap)
 
 
+def merge_adjacency(old: DataFrame, edges: DataFrame, cap: int = fixed.LIMIT_MAX) -> DataFrame:
+    """``adjacency`` of a graph that has got ``edges``, from the one it had.
+
+    A node's first ``cap`` edges are among those that were first before and the new ones;
+    a new edge of a rare type pushes out the last one.
+    """
+    columns = ["rank", "src_num", "dst_num", "ordinal", *NODE, "other", "forward"]
+    number, other = X.numeric_id(F.col("id")), X.numeric_id(F.col("other"))
+    kept = old.withColumns(
+        {"src_num": F.when(F.col("forward"), number).otherwise(other), "dst_num": F.when(F.col("forward"), other).otherwise(number)}
+    )
+    return _first_edges(kept.select(*columns).unionByName(_near(edges).select(*columns)), cap)
+
+
 def adjacency_of(
     edges: DataFrame, wanted: DataFrame, cap: int = fixed.LIMIT_MAX
 ) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from waxgraph import fixed
 from waxgraph.functions import text as X
 from waxgraph.operators import search
 from waxgraph.operators.latest import top_per
+from waxgraph.session import settle
 
 
 def matches(df: DataFrame, text: str, pattern: str, *keep: str) -> DataFrame:
@@ -99,16 +102,20 @@ def by_name(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("letter", "ref", _found(F.col("first.kind"), F.col("first.id")).alias("target"))
 
 
-def by_rank(
-    refs: DataFrame, nodes: DataFrame, edges: DataFrame, index: search.Index, top: int = fixed.REF_TOP
-) -> DataFrame:
-    """(letter, ref, target): first node of an allowed kind among the best few."""
+Ranker = Callable[[DataFrame], DataFrame]
+
+
+def by_rank(refs: DataFrame, rank: Ranker, top: int = fixed.REF_TOP) -> DataFrame:
+    """(letter, ref, target): first node of an allowed kind among the best few.
+
+    ``rank`` gives the rows of ``search.rank`` for prepared queries.
+    """
     queries = refs.select("ref").distinct().select(
         F.col("ref").alias("query_id"), F.col("ref").alias("q"), F.lit(top).alias("limit")
     )
     # Scored by the cleaned text; names are tested for the words as they were written.
     asked = search.prepare(queries, fixed.REF_MAX).withColumn("said", F.col("q"))
-    ranked = search.rank(asked, index, nodes, edges)
+    ranked = rank(asked)
     hits = refs.join(
         ranked.select(F.col("query_id").alias("ref"), "space", "kind", "id", "position"),
         ["ref", "space"],
@@ -118,17 +125,22 @@ def by_rank(
 
 
 def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame, index: search.Index) -> DataFrame:
+    """``resolve_by`` with a search over nodes and edges."""
+    return resolve_by(refs, nodes, lambda queries: search.rank(queries, index, nodes, edges))
+
+
+def resolve_by(refs: DataFrame, nodes: DataFrame, rank: Ranker) -> DataFrame:
     """(letter, ref, method, target_kind, target_id) of every distinct reference.
 
     A number is looked up by id and nothing else. A text is looked up by name
     and, failing that, by rank. ``method`` is null where nothing was found.
     """
-    keys = distinct_refs(refs)
+    keys = settle(distinct_refs(refs))
     numbers = by_id(keys, nodes).withColumn("method", F.lit("id"))
-    names = by_name(keys, nodes).withColumn("method", F.lit("name"))
+    names = settle(by_name(keys, nodes).withColumn("method", F.lit("name")))
     texts = keys.where(~is_number(F.col("ref")))
     left = texts.join(names.select("letter", "ref"), ["ref", "letter"], "left_anti")
-    ranks = by_rank(left, nodes, edges, index).withColumn("method", F.lit("rank"))
+    ranks = by_rank(left, rank).withColumn("method", F.lit("rank"))
     found = numbers.unionByName(names).unionByName(ranks)
     joined = keys.join(found, ["ref", "letter"], "left")
     return joined.select(

@@ -266,11 +266,17 @@ def rank(
     ``queries``: query_id, term, limit, and ``said`` where the words that names are
     tested for differ from the term. Score and degree decide, then kind and id.
     """
-    said = F.col("said" if "said" in queries.columns else "term")
     # At most ``pool_size`` rows per query, and everything below starts from them.
     candidates = settle(pool(queries, index, pool_size))
-    distinct = candidates.select(*NODE).distinct()
-    touching = endpoints(edges).select(*NODE).join(candidates.select(*NODE), NODE, "left_semi")
+    return rank_pool(queries, candidates, facts(nodes, edges, candidates, preview), worth)
+
+
+def facts(nodes: DataFrame, edges: DataFrame, wanted: DataFrame | None = None, preview: int = fixed.PREVIEW_SUGGEST) -> DataFrame:
+    """(space, id, title, year, profile, artists, labels, degree) of the wanted nodes, or of all."""
+    named = nodes if wanted is None else wanted
+    touching = endpoints(edges).select(*NODE)
+    if wanted is not None:
+        touching = touching.join(wanted.select(*NODE), NODE, "left_semi")
     degree = touching.groupBy(*NODE).agg(F.count(F.lit(1)).alias("degree"))
     shown = nodes.select(
         *NODE,
@@ -278,18 +284,20 @@ def rank(
         F.coalesce("year", F.lit("")).alias("year"),
         F.substring(F.coalesce("profile", F.lit("")), 1, preview).alias("profile"),
     )
-    ties = tied_names(candidates, nodes, edges)
-    facts = distinct.join(shown, NODE).join(ties, NODE).join(degree, NODE, "left")
-    joined = candidates.join(facts, NODE).join(queries.select("query_id", said.alias("said"), "limit"), "query_id")
+    if wanted is not None:
+        shown = wanted.select(*NODE).distinct().join(shown, NODE)
+    joined = shown.join(tied_names(named, nodes, edges), NODE).join(degree, NODE, "left")
+    return joined.withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
+
+
+def rank_pool(queries: DataFrame, candidates: DataFrame, known: DataFrame, worth: float = fixed.NEIGHBOUR_BOOST) -> DataFrame:
+    """Ranked rows of ``candidates`` (as ``pool`` gives them), whose ``facts`` are known."""
+    said = F.col("said" if "said" in queries.columns else "term")
+    joined = candidates.join(known, NODE).join(queries.select("query_id", said.alias("said"), "limit"), "query_id")
     total = F.col("score") + boost(
         X.terms(F.col("said")), F.lower("title"), F.concat("artists", "labels"), worth
     )
-    scored = joined.withColumns(
-        {
-            "score": F.round(total, SCORE_DIGITS),
-            "degree": F.coalesce("degree", F.lit(0)).cast("bigint"),
-        }
-    )
+    scored = joined.withColumn("score", F.round(total, SCORE_DIGITS))
     order = [
         F.col("score").desc(),
         F.col("degree").desc(),

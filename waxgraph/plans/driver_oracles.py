@@ -763,4 +763,7 @@ UNION ALL SELECT 'RELEASED_ON', count(*) FROM kept HAVING count(*) > 0
 UNION ALL SELECT 'SUBLABEL', count(*) FROM nation HAVING count(*) > 0""",
     }
     found["graph_report"] = found["graph_shares"]
+    found["search_rank_unstored"] = found["updated_search"] = found["search_rank"]
+    found["updated_degrees"] = found["node_degrees"]
+    found["updated_neighbours"] = found["neighbours_budget"]
     return found

@@ -28,7 +28,7 @@ from waxgraph.operators import (
 )
 from waxgraph.plans import build_graph, driver_graph as G, report, searching
 from waxgraph.session import new_folder, settle, tune
-from waxgraph.sources import graph_tables, release_store, xml_dumps
+from waxgraph.sources import graph_tables, release_store, search_store, xml_dumps
 from waxgraph.streaming import build_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -606,14 +606,13 @@ def postings(spark, sf):
     return search.postings_table(search.documents(G.nodes(spark, sf)))
 
 
-def _searchable(spark, sf, limit: int, years: bool = False):
-    """(queries, nodes, edges, index), each written once for the steps that share it."""
+def _searchable(spark, sf, limit: int, years: bool = False, cap: int | None = None):
+    """(queries, nodes, store): the index is stored once, as it is next to a graph."""
     nodes = settle(G.nodes(spark, sf, years))
     edges = settle(G.edges(spark, sf))
-    index = search.build_index(search.documents(nodes))
-    index = search.Index(index.documents, settle(index.texts))
+    store = search_store.write(nodes, edges, new_folder(spark), cap=cap)
     queries = settle(search.prepare(G.search_queries(spark, sf, limit)))
-    return queries, nodes, edges, index
+    return queries, nodes, store
 
 
 @query
@@ -626,15 +625,65 @@ def search_scores(spark, sf):
 
 @query
 def search_rank(spark, sf):
-    queries, nodes, edges, index = _searchable(spark, sf, SEARCH_LIMIT)
-    ranked = search.rank(queries, index, nodes, edges)
-    return ranked.select("query_id", "position", "kind", "id", "score", "degree")
+    queries, _, store = _searchable(spark, sf, SEARCH_LIMIT)
+    return store.rank(queries).select("query_id", "position", "kind", "id", "score", "degree")
+
+
+@query
+def search_rank_unstored(spark, sf):
+    """The same rows from nodes and edges alone."""
+    nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
+    index = search.build_index(search.documents(nodes))
+    index = search.Index(index.documents, settle(index.texts))
+    queries = settle(search.prepare(G.search_queries(spark, sf, SEARCH_LIMIT)))
+    return search.rank(queries, index, nodes, edges).select("query_id", "position", "kind", "id", "score", "degree")
 
 
 @query
 def suggest(spark, sf):
-    queries, nodes, edges, index = _searchable(spark, sf, SUGGEST_LIMIT, years=True)
-    return search.suggestions(search.rank(queries, index, nodes, edges))
+    queries, _, store = _searchable(spark, sf, SUGGEST_LIMIT, years=True)
+    return search.suggestions(store.rank(queries))
+
+
+def _updated(spark, sf) -> tuple[DataFrame, search_store.SearchStore]:
+    """Nodes, and a store that first lacked every fifth release, every third group, their edges and all aliases."""
+    nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
+    late = ((F.col("kind") == "Release") & (F.col("id_num") % 5 == 0)) | ((F.col("kind") == "Group") & (F.col("id_num") % 3 == 0))
+    late_nodes = settle(nodes.where(late))
+    keys = late_nodes.select("space", "id").withColumn("late", F.lit(True))
+    marked = edges
+    for end in ("src", "dst"):
+        side = keys.select(F.col("space").alias(f"{end}_space"), F.col("id").alias(end), F.col("late").alias(f"{end}_late"))
+        marked = marked.join(side, [end, f"{end}_space"], "left")
+    fresh = F.coalesce("src_late", "dst_late", F.col("type") == "ALIAS_OF")
+    marked = settle(marked.select(*edges.columns, fresh.alias("fresh")))
+    store = search_store.write(nodes.where(~late), marked.where("NOT fresh").drop("fresh"), new_folder(spark))
+    search_store.add(store, nodes, late_nodes, marked.where("fresh").drop("fresh"))
+    return nodes, store
+
+
+@query
+def updated_search(spark, sf):
+    """Ranked search on an index brought up to date by what the graph has got."""
+    _, store = _updated(spark, sf)
+    ranked = store.rank(settle(search.prepare(G.search_queries(spark, sf, SEARCH_LIMIT))))
+    return ranked.select("query_id", "position", "kind", "id", "score", "degree")
+
+
+@query
+def updated_degrees(spark, sf):
+    nodes, store = _updated(spark, sf)
+    facts = store.read("facts").select("space", "id", "degree")
+    return nodes.select("space", "kind", "id").join(facts, ["id", "space"]).select("kind", "id", "degree")
+
+
+@query
+def updated_neighbours(spark, sf):
+    """First edges of every node out of the adjacency brought up to date."""
+    nodes, store = _updated(spark, sf)
+    seeded = expand.seeds(_requests(nodes, NEIGHBOUR_LIMIT))
+    near = expand.neighbours(seeded, store.read("adjacency").drop("bucket"))
+    return near.select("request_id", "rk", "type", "src", "dst", "ordinal")
 
 
 @query
@@ -651,9 +700,8 @@ def tied_names(spark, sf):
 
 
 def _search_walk(spark, sf) -> tuple[DataFrame, DataFrame]:
-    queries, nodes, edges, index = _searchable(spark, sf, SEARCH_LIMIT)
-    adjacency = settle(adj.adjacency(edges))
-    return nodes, settle(searching.search_walk(queries, nodes, edges, adjacency, index))
+    queries, nodes, store = _searchable(spark, sf, SEARCH_LIMIT, cap=fixed.LIMIT_MAX)
+    return nodes, settle(searching.stored_walk(queries, store))
 
 
 @query
@@ -692,10 +740,9 @@ def ref_usage(spark, sf):
 
 def _resolved(spark, sf) -> tuple[DataFrame, DataFrame]:
     nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
-    index = search.build_index(search.documents(nodes))
-    index = search.Index(index.documents, settle(index.texts))
+    store = search_store.write(nodes, edges, new_folder(spark), cap=None)
     found = settle(refs.profile_refs(nodes))
-    return found, settle(refs.resolve(found, nodes, edges, index))
+    return found, settle(refs.resolve_by(found, nodes, store.rank))
 
 
 @query

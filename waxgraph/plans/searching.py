@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from waxgraph import fixed
 from waxgraph.functions import text as X
 from waxgraph.operators import adjacency as adj, expand, search
+from waxgraph.sources.search_store import SearchStore
 
 
 def search_walk(
@@ -22,6 +23,13 @@ def search_walk(
     return expand.walk(search.seeds_of(ranked, asked), adjacency)
 
 
+def stored_walk(queries: DataFrame, store: SearchStore) -> DataFrame:
+    """The same from a stored index and adjacency."""
+    asked = search.prepare(queries)
+    ranked = store.rank(asked.withColumn("limit", X.seed_count(F.col("limit"))))
+    return expand.walk(search.seeds_of(ranked, asked), store.read("adjacency").drop("bucket"))
+
+
 def suggest(
     queries: DataFrame, nodes: DataFrame, edges: DataFrame, index: search.Index
 ) -> DataFrame:
