@@ -1,10 +1,13 @@
 """Order MinHash, language ID, unigram pieces, templates, URL lists, binary search, WARC."""
 
+import gzip
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from datetime import date
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -198,6 +201,26 @@ def test_round_trip(make):
         assert found[i].decoded == text and found[i].crc32 == zlib.crc32(text.encode())
 
 
+def test_long_words_are_segmented_alike_and_fast(spark, make):
+    segmenter = unigram.Segmenter.of(unigram.load_pieces(queries.tokenizer("piece_bpe_32k.model")))
+    rng = random.Random(8)
+    words = ["".join(rng.choice(["a", "e", "th", "ing", "é", "漢", "𝄞", "▁", "qz"]) for _ in range(n)).encode() for n in (1, 5, 60, 90, 200)]
+    assert [segmenter.segment_one(w) for w in words] == [segmenter.segment([w])[0] for w in words if len(w) <= unigram.LONG] + [
+        segmenter.segment_one(w) for w in words if len(w) > unigram.LONG
+    ]
+    start = time.perf_counter()
+    (ids,) = segmenter.segment([b"internationalization" * 50_000])
+    assert time.perf_counter() - start < 15 and len(ids) > 4 * 50_000
+
+
+def test_round_trip_is_encode_and_decode(make):
+    model = queries.tokenizer("piece_bpe_32k.model")
+    docs = make([(1, "Some  text ▁ here\n"), (2, ""), (None, None), (3, "é漢𝄞" * 400)], "doc_id long, text string")
+    both = unigram.decode(unigram.encode(docs, model), model)
+    assert sorted(map(str, unigram.round_trip(docs, model).collect())) == sorted(map(str, both.collect()))
+    assert unigram.round_trip(docs.limit(0), model).collect() == []
+
+
 # --- templates -------------------------------------------------------------------------
 
 
@@ -440,6 +463,103 @@ def test_broken_and_other_records(make):
     assert set(found) == {1, 2, 4} and all(found.values())
 
 
+def test_hostile_pages_take_linear_time():
+    for page in ("<title>" * 150_000, "<a " * 300_000, "<script " * 120_000, "<!--" * 250_000, "<a href='" * 110_000, "<p><script>" * 90_000, "<" * 10**6):
+        start = time.perf_counter()
+        warc.plain_text(page), warc.links(page, "http://h.org/"), warc.title_of(page)
+        assert time.perf_counter() - start < 3, page[:12]
+
+
+class _Plain(HTMLParser):
+    """Text and links of tidy pages by the standard parser."""
+
+    BREAKS = warc._BREAKS
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.targets, self.hidden, self.titles, self.in_title = [], [], 0, [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in warc._UNSEEN_END
+        self.in_title |= tag == "title"
+        self.parts.append("\n" if tag in self.BREAKS else "")
+        named = next(((k, v) for k, v in attrs if k in ("href", "src") and v and v.strip()), None)
+        if tag in warc._LINKED and named:
+            self.targets.append((f"{tag}@{named[0]}", named[1].strip()))
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in warc._UNSEEN_END
+        self.in_title &= tag != "title"
+        self.parts.append("\n" if tag in self.BREAKS else "")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.titles.append(data)
+        self.parts.append(" " if self.hidden else data)
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+
+def test_pages_equal_the_standard_parser():
+    rng = random.Random(31)
+    pieces = [
+        "plain text ", "a &amp; b ", "&lt;tag&gt; ", "<b>bold</b> ", "<p>para</p>", "<br>", "<a href='/x?a=1&amp;b=2'>link</a> ", '<img alt="i" src="p.png">',
+        "<!-- <a href=no> -->", "<style>p { color: red }</style>", "<script>var x = 1;</script>", "<title>T &eacute;</title>", "<li>item", "<SPAN class=x>s</SPAN>",
+        '<A\nHREF="up/down">UP</A>', "é𝄞 ", "<h2>head</h2>", "<a name=n>no link</a> ",
+    ]
+    for _ in range(300):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        plain = _Plain()
+        plain.feed(page)
+        plain.close()
+        lines = (" ".join(line.split()) for line in "".join(plain.parts).split("\n"))
+        assert warc.plain_text(page) == "\n".join(line for line in lines if line)
+        assert [(x["path"], x["url"]) for x in warc.links(page, "")] == plain.targets
+        assert warc.title_of(page) == ("T é" if plain.titles else None)
+
+
+def _response(payload, sent="Content-Type: text/html", given=None):
+    block = f"HTTP/1.1 200 OK\r\n{sent}\r\n\r\n".encode() + payload
+    more = [("WARC-Payload-Digest", given)] if given else []
+    return warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://h.org/"), *more], block)
+
+
+def test_bodies_in_chunks_and_compressed(make):
+    page = "<title>T</title><p>some text".encode()
+    chunks = b"5;x=1\r\n" + page[:5] + b"\r\n" + f"{len(page) - 5:X}".encode() + b"\r\n" + page[5:] + b"\r\n0\r\n\r\n"
+    packed = gzip.compress(page)
+    good = {
+        1: _response(chunks, "Content-Type: text/html\r\nTransfer-Encoding: chunked", warc.digest(page)),
+        2: _response(packed, "Content-Type: text/html\r\nContent-Encoding: gzip", warc.digest(packed)),
+        3: _response(zlib.compress(page), "Content-Encoding: deflate"),
+        4: _response(zlib.compress(page)[2:-4], "Content-Encoding: deflate"),
+        5: _response(page, "Content-Type: text/html", "sha256:anything"),
+    }
+    bad = {
+        11: (_response(page, "Content-Type: text/html", warc.digest(b"other")), "payload digest differs", 2),
+        12: (_response(page, "Content-Type: image/png"), "no text: image/png", 1),
+        13: (_response(packed[:-9], "Content-Encoding: gzip"), "gzip body too long or cut off", 1),
+        14: (_response(page, "Content-Encoding: br"), "unknown encoding br", 1),
+        15: (_response(b"zz\r\n", "Transfer-Encoding: chunked"), "chunk without a size", 1),
+        16: (_response(b"junk", "Content-Encoding: gzip"), "broken gzip", 1),
+    }
+    rows = [*good.items(), *((i, raw) for i, (raw, _, _) in bad.items())]
+    wide = make(rows * 2, "source_id long, record binary").withColumns({n: F.lit("x") for n in ("raw", "type", "error", "refers_to")})
+    found = warc.derivatives(wide).collect()
+    for i in good:
+        own = [r for r in found if r.source_id == i]
+        assert len(own) == 4 and all(r.error is None for r in own)
+        assert {warc.parse(bytes(r.record))[1] for r in own if r.type == "conversion"} == {b"T\nsome text"}
+        given = warc._get(warc.parse(good[i])[0], "WARC-Payload-Digest")
+        assert not given or {r.source_digest for r in own} == {given}
+        assert all(warc._get(warc.parse(bytes(r.record))[0], "WARC-Source-Payload-Digest") == r.source_digest for r in own)
+    for i, (_, fault, records) in bad.items():
+        own = [r for r in found if r.source_id == i]
+        assert len(own) == 2 * records and all(r.error.startswith(fault) for r in own)
+    assert warc.derivatives(wide.limit(0)).collect() == []
+
+
 # --- queries ---------------------------------------------------------------------------
 
 

@@ -84,8 +84,7 @@ def op8_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_unigram_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer("piece_bpe_32k.model")
-    found = unigram.decode(unigram.encode(table(spark, sf_dir, "documents"), model), model)
+    found = unigram.round_trip(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

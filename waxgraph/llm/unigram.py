@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -28,6 +29,8 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 # Words whose segmentation a worker remembers.
 CACHE = 500_000
+# Bytes from which a word is segmented by itself: few are as long, and steps for few cost as much as for many.
+LONG = 256
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("crc32", pa.int64())])
 _TEXT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("crc32", pa.int64()), ("decoded", pa.string())])
@@ -152,6 +155,9 @@ class Segmenter:
 
     def segment(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as 32-bit numbers. On ties the earlier start of the last piece wins."""
+        if any(len(w) > LONG for w in words):
+            short = iter(self.segment([w for w in words if len(w) <= LONG]))
+            return [self.segment_one(w) if len(w) > LONG else next(short) for w in words]
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         sizes = np.array([len(words[i]) for i in order], np.int64)
@@ -206,6 +212,44 @@ class Segmenter:
         return out
 
 
+    def segment_one(self, word: bytes) -> bytes:
+        """The same for one word of any length, byte by byte."""
+        base, check, value, scores = self.lists
+        n = len(word)
+        best, back, piece = [-np.inf] * n + [-np.inf], [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            head = word[start]
+            if head & 0xC0 == 0x80:
+                continue
+            sofar, state = best[start], 0
+            for at in range(start, n):
+                to = base[state] + word[at]
+                if check[to] != state:
+                    break
+                state = to
+                found = value[state]
+                if found >= 0 and sofar + scores[found] > best[at + 1]:
+                    best[at + 1], back[at + 1], piece[at + 1] = sofar + scores[found], start, found
+            end = min(n, start + 1 + (head >= 0xC0) + (head >= 0xE0) + (head >= 0xF0))
+            if sofar + self.lowest > best[end]:
+                best[end], back[end], piece[end] = sofar + self.lowest, start, -1
+        at, ids = n, []
+        while at > 0:
+            start = back[at]
+            if piece[at] >= 0:
+                ids.append(piece[at])
+            else:
+                ids.extend(self.byte_ids[c] for c in reversed(word[start:at]))
+            at = start
+        return array("i", ids[::-1]).tobytes()
+
+    @cached_property
+    def lists(self) -> tuple[list, list, list, list]:
+        """Plain lists are faster by the element."""
+        return self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.scores.tolist()
+
+
 _WORDS = re.compile(" *[^ ]+| +")
 
 
@@ -271,3 +315,27 @@ def decode(tokens: DataFrame, model_file: str | Path) -> DataFrame:
             yield batch_of(_TEXT, [batch["doc_id"], batch["ids"], batch["crc32"], decoded])
 
     return tokens.mapInArrow(rows, "doc_id long, ids array<int>, crc32 long, decoded string")
+
+
+def round_trip(docs: DataFrame, model_file: str | Path, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``encode`` and ``decode`` in one pass: ``doc_id, ids, crc32, decoded``."""
+    import zlib
+
+    spark = prepare(docs.sparkSession)
+    pieces = load_pieces(model_file)
+    shared = spark.sparkContext.broadcast((Segmenter.of(pieces), pieces.spelled))
+
+    def rows(batches):
+        segmenter, spelled = shared.value
+        encoder = Encoder(segmenter)
+        for batch in batches:
+            texts = batch["text"].to_pylist()
+            found = [np.frombuffer(ids, np.int32) for ids in encoder.encode(texts)]
+            decoded = [b"".join(map(spelled.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace") for ids in found]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)]))
+            )
+            crcs = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
+            yield batch_of(_TEXT, [batch["doc_id"], lists, crcs, decoded])
+
+    return _plain(docs, id_column, text_column).mapInArrow(rows, "doc_id long, ids array<int>, crc32 long, decoded string")
