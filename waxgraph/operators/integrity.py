@@ -120,6 +120,49 @@ def canonical(releases: DataFrame, wanted: DataFrame, id_: str | Column = "_id")
     ).drop("wanted_id")
 
 
+# Ids in one row of a bitmap, as words of 64 bits.
+BITMAP_IDS, WORD = 2048, 64
+# Rows of a bitmap that go to every task at once: about 64 MB, or 500 million ids in a row.
+BITMAP_ROWS = 1 << 18
+
+
+def id_bitmap(ids: DataFrame) -> DataFrame:
+    """(bucket, words): the ids as bits, a row for each range of ``BITMAP_IDS`` that has one."""
+    number = F.col("id")
+    word = F.shiftright(number.bitwiseAND(BITMAP_IDS - 1), 6).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), number.bitwiseAND(WORD - 1).cast("int"))
+    words = ids.where(number.isNotNull()).groupBy(F.shiftright(number, 11).alias("bucket"), word.alias("word")).agg(
+        F.bit_or(bit).alias("bits")
+    )
+    listed = words.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    places = F.array(*(F.lit(i) for i in range(BITMAP_IDS // WORD)))
+    return listed.select(
+        "bucket", F.transform(places, lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("bigint"))).alias("words")
+    )
+
+
+def in_bitmap(rows: DataFrame, bitmap: DataFrame, number: Column, keep_null: bool = False) -> DataFrame:
+    """Rows whose number has its bit set, tested where they are: none is ever shuffled.
+
+    The bitmap is stored first. One of more than ``BITMAP_ROWS`` rows is sent in slices,
+    and the rows are read once for each. With ``keep_null`` rows without a number stay.
+    """
+    bitmap = settle(bitmap)
+    slices = max(1, -(-bitmap.count() // BITMAP_ROWS))
+    keyed = rows.select("*", number.alias("number"))
+    bits = F.get("words", F.shiftright(F.col("number").bitwiseAND(BITMAP_IDS - 1), 6).cast("int"))
+    shifted = F.call_function("shiftright", bits, F.col("number").bitwiseAND(WORD - 1).cast("int"))
+    is_set = shifted.bitwiseAND(F.lit(1).cast("bigint")) == 1
+    found = None
+    for i in range(slices):
+        part = bitmap.where(F.pmod(F.xxhash64("bucket"), F.lit(slices)) == i) if slices > 1 else bitmap
+        # An outer join, so that rows without a number pass by the same scan.
+        met = keyed.join(F.broadcast(part), F.shiftright(F.col("number"), 11) == F.col("bucket"), "left")
+        kept = met.where(is_set | F.col("number").isNull() if keep_null and i == 0 else is_set).select(*rows.columns)
+        found = kept if found is None else found.unionByName(kept)
+    return found
+
+
 def missing_wanted(releases: DataFrame, wanted: DataFrame, id_: str | Column = "_id") -> DataFrame:
     """Wanted ids no release has."""
     number = (F.col(id_) if isinstance(id_, str) else id_).try_cast("bigint")

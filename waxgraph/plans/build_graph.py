@@ -49,16 +49,15 @@ def land_releases(
     """The releases named in ``wanted`` and how many records the dump holds.
 
     The id is read off the opening tag and only wanted texts go further, so
-    parsing, by far the dearest part, is done for those alone. ``wanted`` is a table
-    of its own: Spark sends it to every task if its size allows. Of a release given
+    parsing, by far the dearest part, is done for those alone. ``wanted`` goes to every
+    cutting task as a bitmap, so no other text is shuffled at any size. Of a release given
     twice the last accepted copy is taken; copies set aside and texts whose id is no
     number stay as rejects. The shuffle by id also spreads the parsing.
     """
     seen = Observation()
     texts = xml_dumps.read_texts(spark, path, "release")
     texts = texts.observe(seen, F.count(F.lit(1)).alias("scanned"))
-    flagged = wanted.select("id", F.lit(True).alias("wanted"))
-    kept = release_store.keyed_texts(texts).join(flagged, "id", "left").where("wanted OR id IS NULL").drop("wanted")
+    kept = release_store.wanted_texts(release_store.keyed_texts(texts), wanted)
     # Texts without a number are spread by their place.
     spread = kept.repartition("id", F.when(F.col("id").isNull(), F.xxhash64("place")))
     screened = xml_dumps.screen(xml_dumps.parse_texts(spread, "release"), "release")

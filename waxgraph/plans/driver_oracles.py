@@ -764,6 +764,41 @@ UNION ALL SELECT 'SUBLABEL', count(*) FROM nation HAVING count(*) > 0""",
     }
     found["graph_report"] = found["graph_shares"]
     found["search_rank_unstored"] = found["updated_search"] = found["search_rank"]
+    found["canonical_by_bitmap"] = found["canonical_releases"]
+    found["duplicate_places"] = """
+WITH placed AS (
+  SELECT l_partkey AS id, CAST(l_partkey % 7 AS INTEGER) AS part, l_orderkey, l_linenumber,
+         row_number() OVER (PARTITION BY l_partkey % 7 ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS place,
+         row_number() OVER (ORDER BY l_partkey % 7, l_orderkey, l_linenumber, l_partkey) - 1 AS position
+  FROM lineitem),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position) AS nth FROM placed)
+SELECT id, part, place, position FROM firsts WHERE nth > 1"""
+    label = lambda key, content: f"""'<label id="' || ({key}) || '" note="a > b">' || {content} || '</label>'"""
+    inner = label("s_suppkey + 1", "'one' || CASE WHEN s_suppkey % 3 = 0 THEN " + label("s_suppkey + 2", "'two'") + " ELSE '' END")
+    nested = "CASE WHEN s_suppkey % 2 = 0 THEN '<sublabels>' || " + inner + " || '<label id=''x''/></sublabels>' ELSE '' END"
+    whole = label("s_suppkey", f"'<name>' || s_name || '</name>' || {nested}")
+    found["nested_labels"] = f"""
+SELECT CAST(s_suppkey AS VARCHAR) AS id, md5({whole}) AS content_md5,
+       CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS nth FROM supplier"""
+    found["store_update"] = found["last_write_wins"]
+    found["footer_counts"] = found["stored_graph"].replace(", true AS refused", "").replace(", true FROM", " FROM")
+    sharded = _with(
+        NODES,
+        "exported AS (SELECT kind AS type, id, coalesce(name, title) AS name FROM nodes WHERE coalesce(name, title) <> '')",
+        "keyed AS (SELECT *, lower(name) AS key FROM exported)",
+        """spread AS (
+  SELECT key, d, left(key, d) AS prefix FROM (SELECT key, unnest(range(1, length(key) + 1)) AS d FROM (SELECT DISTINCT key FROM keyed)))""",
+        """sizes AS (
+  SELECT prefix, sum(n) AS n FROM spread JOIN (SELECT key, count(*) AS n FROM keyed GROUP BY key) USING (key) GROUP BY prefix)""",
+        """leaves AS (
+  SELECT s.key, min(s.d) FILTER (WHERE z.n <= 40) AS d FROM spread s JOIN sizes z ON z.prefix = s.prefix GROUP BY s.key)""",
+        """shards AS (
+  SELECT k.type, k.id, k.name, k.key, coalesce(left(k.key, l.d), k.key) AS prefix, l.d IS NULL AS exact,
+         CASE WHEN l.d IS NULL THEN (row_number() OVER (PARTITION BY k.key ORDER BY k.type, k.id) - 1) // 40 ELSE 0 END AS part
+  FROM keyed k JOIN leaves l ON l.key = k.key)""",
+    )
+    found["adaptive_shards"] = sharded + "SELECT type, id, name, prefix, exact, part FROM shards"
+    found["shard_lookup"] = sharded + "SELECT name AS q, prefix, exact, max(part) + 1 AS parts FROM shards GROUP BY ALL"
     found["updated_degrees"] = found["node_degrees"]
     found["updated_neighbours"] = found["neighbours_budget"]
     return found

@@ -20,6 +20,8 @@ from waxgraph.operators import (
     flatten,
     integrity,
     labels as label_ops,
+    positions,
+    prefix_shards,
     progress,
     refs,
     search,
@@ -116,10 +118,34 @@ def decade_bars(spark, sf):
 
 @query
 def duplicate_ids(spark, sf):
-    rows = G.table(spark, sf, "events").select(
-        F.col("user_id").alias("id"), F.col("event_id").alias("position")
-    )
-    return integrity.repeat_positions(rows, ["id"], "position")
+    """Places in the files of the rows that repeat an id."""
+    scan = G.table(spark, sf, "events").select(F.col("user_id").alias("id"), *(c.alias(n) for n, c in positions.scanned().items()))
+    return integrity.repeat_positions(positions.numbered(scan), ["id"], "position")
+
+
+@query
+def duplicate_places(spark, sf):
+    """The same over many files of text: which file, and which row of it."""
+    path = new_folder(spark)
+    lines = G.table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber")
+    folder = F.pmod("l_partkey", F.lit(7)).alias("part")
+    sorted_lines = lines.select(F.to_csv(F.struct("*")).alias("value"), folder, "l_orderkey", "l_linenumber", "l_partkey")
+    sorted_lines.repartition("part").sortWithinPartitions("part", "l_orderkey", "l_linenumber", "l_partkey").select(
+        "value", "part"
+    ).write.partitionBy("part").text(path)
+    # Small blocks, so that a file is scanned in many.
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 << 10)
+    try:
+        scan = spark.read.text(path).select(
+            F.split("value", ",").alias("v"), F.col("part").cast("int").alias("part"), *(c.alias(n) for n, c in positions.scanned().items())
+        )
+        numbered = settle(positions.numbered(scan))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    keyed = numbered.select(F.col("v")[0].cast("bigint").alias("id"), "part", "place", "position")
+    repeats = integrity.repeat_positions(keyed, ["id"], "position")
+    return keyed.join(repeats, ["id", "position"]).select("id", "part", "place", "position")
 
 
 @query
@@ -167,6 +193,14 @@ def canonical_releases(spark, sf):
     return integrity.canonical(releases, integrity.main_releases(_masters(spark, sf)))
 
 
+@query
+def canonical_by_bitmap(spark, sf):
+    """The same by a bitmap of the wanted ids, which no release is shuffled for."""
+    releases = G.table(spark, sf, "part").select(_text("p_partkey").alias("_id"), F.col("p_name").alias("title"))
+    wanted = integrity.id_bitmap(integrity.main_releases(_masters(spark, sf)))
+    return integrity.in_bitmap(releases, wanted, F.col("_id").try_cast("bigint"))
+
+
 @query
 def missing_wanted(spark, sf):
     releases = G.table(spark, sf, "part").select(_text("p_partkey").alias("_id"))
@@ -394,6 +428,17 @@ def last_write_wins(spark, sf):
     return release_store.merge_parts(_part_stores(spark, sf))
 
 
+@query
+def store_update(spark, sf):
+    """The last part merged into a store of all others: only its ranges are rewritten."""
+    parts = settle(_part_stores(spark, sf))
+    last = parts.agg(F.max("part")).first()[0]
+    path = new_folder(spark)
+    release_store.write_ranges(release_store.merge_parts(parts.where(F.col("part") != last)), path, ids=500)
+    release_store.update_ranges(path, parts.where(F.col("part") == last), ids=500)
+    return release_store.read_ranges(spark, path).select("id", "content")
+
+
 @query
 def part_rows(spark, sf):
     counted = release_store.part_rows(_part_stores(spark, sf))
@@ -477,6 +522,24 @@ def name_shards(spark, sf):
     return graph_tables.name_shards(graph_tables.search_export(G.nodes(spark, sf)))
 
 
+SHARD_ROWS = 40
+
+
+@query
+def adaptive_shards(spark, sf):
+    """Every name in the shard of a prefix tree; none holds more than ``SHARD_ROWS``."""
+    exported = graph_tables.search_export(G.nodes(spark, sf))
+    return prefix_shards.shards(exported, ["type", "id"], SHARD_ROWS)
+
+
+@query
+def shard_lookup(spark, sf):
+    """The shard to open for every name, by the lookup table alone."""
+    exported = settle(graph_tables.search_export(G.nodes(spark, sf)))
+    table = settle(prefix_shards.lookup_table(prefix_shards.shards(exported, ["type", "id"], SHARD_ROWS)))
+    return prefix_shards.find(table, exported.select(F.col("name").alias("q")).distinct())
+
+
 @query
 def trimmed_shards(spark, sf):
     kinds = [kind for kind in fixed.KINDS if kind != "Release"]
@@ -863,6 +926,32 @@ def label_dump(spark, sf):
     return records.select("id", "name", sub[0]["_id"].alias("sub_id"), sub[0]["_VALUE"].alias("sub_name"))
 
 
+@query
+def nested_labels(spark, sf):
+    """Labels with attributes that nest in labels, out of plain files read in small blocks."""
+    path = new_folder(spark)
+    supplier = G.table(spark, sf, "supplier")
+
+    def label(id_: Column, *content: Column) -> Column:
+        return F.concat(F.lit('<label id="'), id_, F.lit('" note="a > b">'), *content, F.lit("</label>"))
+
+    key = F.col("s_suppkey")
+    inner = label(_text(key + 1), F.lit("one"), F.when(key % 3 == 0, label(_text(key + 2), F.lit("two"))).otherwise(""))
+    text = label(_text(key), _element("name", F.col("s_name")), F.when(key % 2 == 0, _element("sublabels", inner, F.lit("<label id='x'/>"))).otherwise(""))
+    supplier.orderBy("s_suppkey").coalesce(1).select(text.alias("value")).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8 << 10)
+    try:
+        found = settle(xml_dumps.read_nested_texts(spark, path, "label"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select(
+        F.regexp_extract("content", 'id="([0-9]+)"', 1).alias("id"),
+        F.md5("content").alias("content_md5"),
+        F.row_number().over(Window.orderBy("place")).alias("nth"),
+    )
+
+
 @query
 def graph_csv_round_trip(spark, sf):
     """The nine interchange tables written and read back."""
@@ -902,6 +991,14 @@ def stored_graph(spark, sf):
     return counted.select("kind", "n", F.lit(refused).alias("refused"))
 
 
+@query
+def footer_counts(spark, sf):
+    """Nodes by kind and edges by type of a stored graph, out of its file footers."""
+    out = new_folder(spark)
+    graph_tables.write_graph(G.nodes(spark, sf), G.edges(spark, sf), out)
+    return graph_tables.footer_counts(spark, out)
+
+
 @query
 def step_log_stream(spark, sf):
     """The step log read as a stream until it is used up; the last batch is the state."""

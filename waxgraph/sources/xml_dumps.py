@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from waxgraph import schemas
 from waxgraph.functions import text as X
+from waxgraph.session import settle
 
 # Text is kept as written, white space included.
 XML_OPTIONS = {"ignoreSurroundingSpaces": "false"}
@@ -82,20 +83,55 @@ def _parts(spark: SparkSession, path: str | list[str]) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(int(files) / PART_BYTES))
 
 
-def read_label_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(place, content): the XML text of every outermost label, unparsed.
+def opening_tag(tag: str) -> str:
+    """Pattern of a tag that opens an element with content; an attribute may hold ``>`` or ``/``."""
+    return rf"""<{tag}(?:\s(?:[^"'>/]++|/(?!>)|"[^"]*+"|'[^']*+')*+)?>"""
+
 
-    Labels nest in labels, but only outermost ones open without an attribute and
-    with content; so the cut is at that tag, and a record ends at its last closing
-    tag. A piece that is no record by this rule comes out malformed.
+def read_nested_texts(spark: SparkSession, path: str | list[str], tag: str) -> DataFrame:
+    """(place, content): the XML text of every outermost ``tag`` element, unparsed.
+
+    For tags that nest in themselves. The text is cut at every closing tag. How many
+    elements are open after a cut is a sum over all before it; sums within a block of a
+    file and over blocks give it without a look at the text again. An outermost element
+    ends where none is open, so pieces between two such cuts are one. What is still open
+    at the end of a file is no record; ``place`` is that of the first piece.
     """
-    opening, closing = "<label>", "</label>"
-    pieces = spark.read.option("lineSep", opening).text(path).select("value", _place())
-    # What stands before the first record has no closing tag.
-    body = F.regexp_extract("value", r"(?s)^(.*)</label>", 1)
-    return pieces.where(F.contains("value", F.lit(closing))).select(
-        "place", F.concat(F.lit(opening), body, F.lit(closing)).alias("content")
+    closing = f"</{tag}>"
+    opening = opening_tag(tag)
+    pieces = spark.read.option("lineSep", closing).text(path).select("value", _place())
+    opens = F.regexp_count("value", F.lit(opening))
+    # The steps are stored: places must not change, and the text is read once.
+    pieces = settle(pieces.select("place", "value", opens.alias("opens")))
+    block = ["file", "block"]
+    steps = pieces.select("place.file", "place.block", "place.pos", F.col("opens").cast("long").alias("opens"))
+    inside = Window.partitionBy(*block).orderBy("pos")
+    # The last piece of a file ends with no closing tag; it takes none from the sum.
+    steps = steps.withColumn("nth", F.row_number().over(inside)).withColumn("after", F.sum("opens").over(inside) - F.col("nth"))
+    steps = settle(steps)
+    blocks = steps.groupBy(*block).agg(F.max_by("after", "nth").alias("net"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = settle(blocks.select(*block, F.coalesce(F.sum("net").over(before), F.lit(0)).alias("depth")))
+    ended = steps.join(sums, block).select(
+        *block, "pos", (F.col("after") + F.col("depth") <= 0).cast("int").alias("ends")
     )
+    ended = settle(ended)
+    counts = ended.groupBy(*block).agg(F.sum("ends").alias("ends"))
+    counts = settle(counts.select(*block, F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("earlier")))
+    upto = F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    owner = ended.select(*block, "pos", F.coalesce(upto, F.lit(0)).alias("own")).join(counts, block)
+    owner = settle(owner.select(*block, "pos", (F.col("own") + F.col("earlier")).alias("record")))
+    same = (F.col("place.file") == F.col("file")) & (F.col("place.block") == F.col("o.block")) & (F.col("place.pos") == F.col("pos"))
+    owned = pieces.join(owner.alias("o"), same).select("place", "value", "file", "record")
+    joined = owned.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("pieces"))
+    text = F.concat(F.array_join("pieces.value", closing), F.lit(closing))
+    body = F.regexp_extract(text, rf"(?s){opening}.*$", 0)
+    return joined.select(F.col("pieces")[0]["place"].alias("place"), body.alias("content")).where("content <> ''")
+
+
+def read_label_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(place, content): the XML text of every outermost label, unparsed."""
+    return read_nested_texts(spark, path, "label")
 
 
 def _item_ids(column: str, field: str) -> Column:
