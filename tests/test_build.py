@@ -8,7 +8,7 @@ from tests.conftest import rows_of
 from waxgraph.operators import integrity
 from waxgraph.plans.alias_update import alias_update, apply_alias_update
 from waxgraph.plans.build_graph import Dumps, build_graph
-from waxgraph.sources import graph_tables, release_store, xml_dumps
+from waxgraph.sources import graph_tables, release_store, search_store, xml_dumps
 
 
 @pytest.fixture(scope="module")
@@ -209,6 +209,21 @@ def test_alias_update_adds_what_is_missing_and_nothing_twice(spark, built, tmp_p
     assert table().count() == before + 2
 
 
+def test_alias_update_keeps_the_store_up_to_date(spark, built, tmp_path):
+    paths, _, _, nodes, edges = built
+    artists = xml_dumps.accepted(xml_dumps.screen(xml_dumps.read_records(spark, paths["artists"], "artist"), "artist"))
+    path = f"{tmp_path}/edges"
+    edges.where("type <> 'ALIAS_OF'").write.partitionBy("type").parquet(path)
+    table = lambda: spark.read.schema(edges.schema).parquet(path)
+    store = search_store.write(nodes, table(), f"{tmp_path}/store", buckets=4)
+    apply_alias_update(artists, nodes, table(), path, dry_run=True, store=store)
+    for _ in range(2):
+        apply_alias_update(artists, nodes, table(), path, store=store)
+    again = search_store.write(nodes, table(), f"{tmp_path}/again", buckets=4)
+    for name in ("facts", "adjacency"):
+        assert rows_of(store.read(name), *again.read(name).columns) == rows_of(again.read(name))
+
+
 def test_csv_set_round_trip(spark, built, tmp_path):
     _, _, _, nodes, edges = built
     out = f"{tmp_path}/csv"

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tests import graphs
 from tests.conftest import rows_of
-from waxgraph.operators import integrity, positions, prefix_shards
+from waxgraph.operators import adjacency as adj, integrity, positions, prefix_shards
 from waxgraph.session import new_folder
-from waxgraph.sources import graph_tables, release_store, xml_dumps
+from waxgraph.sources import bucketed_graph, graph_tables, release_store, xml_dumps
 
 
 @contextmanager
@@ -198,3 +198,33 @@ def test_counts_come_from_footers(spark):
         for key, value in before.items():
             spark.conf.set(key, value)
     assert plan.count("PushedAggregation: [COUNT(*)]") >= 2 and "PushedGroupBy: [kind]" in plan
+
+
+# --- buckets ---------------------------------------------------------------------------
+
+
+def test_joins_of_bucketed_tables_need_no_exchange(spark):
+    listed, edges = graphs.random_graph(8)
+    listed += [graphs.node("Label", 500 + i, "alone") for i in range(9)]
+    edges += [graphs.edge("CREDITED", 1, 9999), graphs.edge("ALIAS_OF", 7777, 7777), graphs.edge("ALIAS_OF", 7777, 1)]
+    nodes, edges = graphs.frames(spark, listed, edges)
+    path = new_folder(spark)
+    graph = bucketed_graph.write(nodes, edges, path, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (graph.with_degree(), graph.unconnected(), graph.dangling_ends()):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert rows_of(graph.with_degree()) == rows_of(adj.with_degree(nodes, edges).select(*graph.with_degree().columns))
+        assert rows_of(graph.unconnected()) == rows_of(adj.unconnected(nodes, edges).select(*graph.unconnected().columns))
+        missing = rows_of(graph.dangling_ends().select("space", "id").distinct())
+        assert missing == rows_of(integrity.missing_endpoints(edges, nodes), "space", "id")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert graph.ends().where("is_src").count() == edges.count() and len(_files(f"{path}/nodes")) <= 4
+    # Another session knows nothing of the tables: the layout is stated again.
+    other = bucketed_graph.BucketedGraph(spark.newSession(), path, 4)
+    spark.sql(f"DROP TABLE {[t.name for t in spark.catalog.listTables() if t.name.startswith('waxgraph_ends')][0]}")
+    assert other.degrees().count() == graph.degrees().count()
+    with pytest.raises(Exception, match="(?i)exist"):
+        bucketed_graph.write(nodes, edges, path, buckets=4)

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from waxgraph import schemas
 from waxgraph.operators import aliases, flatten
+from waxgraph.session import settle
+from waxgraph.sources import search_store
+from waxgraph.sources.search_store import SearchStore
 
 
 def alias_update(
@@ -24,14 +27,24 @@ def alias_update(
 
 
 def apply_alias_update(
-    artists: DataFrame, nodes: DataFrame, edges: DataFrame, edges_path: str, dry_run: bool = False
+    artists: DataFrame,
+    nodes: DataFrame,
+    edges: DataFrame,
+    edges_path: str,
+    dry_run: bool = False,
+    store: SearchStore | None = None,
 ) -> DataFrame:
     """Append the new edges to the edge table and return the statistics.
 
-    A dry run writes nothing.
+    Degrees, names and first edges in ``store`` are brought up to date as well. A dry run
+    writes nothing.
     """
     fresh, statistics = alias_update(artists, nodes, edges)
     if not dry_run:
-        rows = fresh.select(*schemas.EDGES.names)
+        # Stored first: once the edges are appended they are no longer new.
+        rows = settle(fresh.select(*schemas.EDGES.names))
+        statistics = settle(statistics)
+        if store is not None:
+            search_store.add(store, nodes, nodes.limit(0), rows)
         rows.write.mode("append").partitionBy("type").parquet(edges_path)
     return statistics

@@ -799,6 +799,11 @@ SELECT CAST(s_suppkey AS VARCHAR) AS id, md5({whole}) AS content_md5,
     )
     found["adaptive_shards"] = sharded + "SELECT type, id, name, prefix, exact, part FROM shards"
     found["shard_lookup"] = sharded + "SELECT name AS q, prefix, exact, max(part) + 1 AS parts FROM shards GROUP BY ALL"
+    found["bucketed_degrees"] = found["node_degrees"]
+    found["bucketed_dangling"] = (
+        _with(EDGES, SOLVENT)
+        + "SELECT DISTINCT type, src, dst, ordinal, src_missing, dst_missing FROM flagged WHERE src_missing OR dst_missing"
+    )
     found["updated_degrees"] = found["node_degrees"]
     found["updated_neighbours"] = found["neighbours_budget"]
     return found

@@ -30,7 +30,7 @@ from waxgraph.operators import (
 )
 from waxgraph.plans import build_graph, driver_graph as G, report, searching
 from waxgraph.session import new_folder, settle, tune
-from waxgraph.sources import graph_tables, release_store, search_store, xml_dumps
+from waxgraph.sources import bucketed_graph, graph_tables, release_store, search_store, xml_dumps
 from waxgraph.streaming import build_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,32 @@ def decade_bars(spark, sf):
     return stats.with_bars(stats.decades(dated)).orderBy("decade")
 
 
+def _bucketed(spark, sf, nodes: DataFrame) -> bucketed_graph.BucketedGraph:
+    return bucketed_graph.write(nodes, G.edges(spark, sf), new_folder(spark), buckets=8)
+
+
+@query
+def bucketed_degrees(spark, sf):
+    """Degrees by a join of tables in the same buckets."""
+    return _bucketed(spark, sf, G.nodes(spark, sf)).with_degree().select("kind", "id", "degree")
+
+
+@query
+def bucketed_dangling(spark, sf):
+    """Edges with a missing end, found bucket by bucket."""
+    ends = _bucketed(spark, sf, G.solvent_nodes(spark, sf)).dangling_ends()
+    src, dst = F.col("is_src"), ~F.col("is_src")
+    edge = ends.select(
+        "type",
+        F.when(src, F.col("id")).otherwise(F.col("other")).alias("src"),
+        F.when(dst, F.col("id")).otherwise(F.col("other")).alias("dst"),
+        "ordinal", src.alias("src_missing"), dst.alias("dst_missing"),
+    )
+    return edge.groupBy("type", "src", "dst", "ordinal").agg(
+        F.bool_or("src_missing").alias("src_missing"), F.bool_or("dst_missing").alias("dst_missing")
+    )
+
+
 # ---------------------------------------------------------------- integrity
 
 
