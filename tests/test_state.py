@@ -1,6 +1,7 @@
 """Statistics, integrity checks, progress and its stream."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from waxgraph.operators import integrity, latest, progress, stats
 from waxgraph.plans.report import graph_report
 from waxgraph.sources import graph_tables
 from waxgraph.sources.step_log import read_steps
+from waxgraph.streaming import step_changes
 from waxgraph.streaming.build_status import live_steps, watch
 
 
@@ -180,3 +182,26 @@ def test_the_stream_ends_where_the_table_does(spark, tmp_path):
 
 def test_live_steps_is_a_stream(spark, tmp_path):
     assert live_steps(spark, log_file(tmp_path / "log", "a.jsonl", LOG)).isStreaming
+
+
+def test_changes_of_steps_over_restarts_late_records_and_a_stalled_step(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "log", f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    columns = ["n", "of", "name", "state", "elapsed", "ts"]
+
+    def run(name, lines, after_ms=3_600_000):
+        log_file(folder, name, lines)
+        step_changes.watch_changes(spark, str(folder), out, checkpoint, after_ms).awaitTermination()
+        newest = max(os.listdir(f"{out}/changes"), key=lambda d: int(d.split("=")[1]))
+        written = spark.read.schema(step_changes.CHANGES).json(f"{out}/changes/{newest}")
+        batch = progress.latest_steps(read_steps(spark, str(folder)))
+        assert rows_of(step_changes.state_of(spark, out), *columns) == rows_of(batch, *columns)
+        return rows_of(written, "n", "state", "stalled")
+
+    assert run("a.jsonl", LOG) == [(1, "done", False), (2, "pending", False)]
+    # Only what changed is written; the timer of the running step is set.
+    assert run("b.jsonl", MORE, after_ms=1) == [(2, "running", False), (3, "skipped", False)]
+    # Late records change nothing, and by now the step has been running for too long.
+    assert run("c.jsonl", [LOG[0], MORE[0], LOG[5]]) == [(2, "running", True)]
+    assert [r.n for r in step_changes.state_of(spark, out).where("stalled").collect()] == [2]
+    assert run("d.jsonl", LAST) == [(2, "done", False)]
+    assert step_changes.state_of(spark, out).where("stalled").count() == 0

@@ -804,6 +804,7 @@ SELECT CAST(s_suppkey AS VARCHAR) AS id, md5({whole}) AS content_md5,
         _with(EDGES, SOLVENT)
         + "SELECT DISTINCT type, src, dst, ordinal, src_missing, dst_missing FROM flagged WHERE src_missing OR dst_missing"
     )
+    found["step_changes_stream"] = found["step_log_stream"]
     found["updated_degrees"] = found["node_degrees"]
     found["updated_neighbours"] = found["neighbours_budget"]
     return found

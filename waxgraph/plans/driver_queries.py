@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from waxgraph import fixed
 from waxgraph.functions import text as X
@@ -31,7 +31,7 @@ from waxgraph.operators import (
 from waxgraph.plans import build_graph, driver_graph as G, report, searching
 from waxgraph.session import new_folder, settle, tune
 from waxgraph.sources import bucketed_graph, graph_tables, release_store, search_store, xml_dumps
-from waxgraph.streaming import build_status
+from waxgraph.streaming import build_status, step_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -1025,10 +1025,8 @@ def footer_counts(spark, sf):
     return graph_tables.footer_counts(spark, out)
 
 
-@query
-def step_log_stream(spark, sf):
-    """The step log read as a stream until it is used up; the last batch is the state."""
-    log, out, state = (new_folder(spark) for _ in range(3))
+def _write_step_log(spark, sf, log: str) -> T.StructType:
+    """The events as a step log; the schema of its steps."""
     records = _step_records(spark, sf)
     last = progress.latest_steps(records, "event_id").drop("n")
     # Ties between records of one second are not in the log: it keeps the later one.
@@ -1036,11 +1034,28 @@ def step_log_stream(spark, sf):
     top = Window.partitionBy("n", order).orderBy(F.col("event_id").desc())
     kept = records.withColumn("nth", F.row_number().over(top)).where("nth = 1")
     kept.select("n", *last.columns).write.json(log)
+    return progress.latest_steps(records, "event_id").schema
+
+
+@query
+def step_log_stream(spark, sf):
+    """The step log read as a stream until it is used up; the last batch is the state."""
+    log, out, state = (new_folder(spark) for _ in range(3))
+    schema = _write_step_log(spark, sf, log)
     build_status.watch(spark, log, out, state).awaitTermination()
-    steps = spark.read.schema(progress.latest_steps(records, "event_id").schema).json(f"{out}/steps")
+    steps = spark.read.schema(schema).json(f"{out}/steps")
     return steps.select("n", "of", "name", "state", "elapsed", "ts")
 
 
+@query
+def step_changes_stream(spark, sf):
+    """The same by keyed state: only steps that changed are written, the newest change is the state."""
+    log, out, state = (new_folder(spark) for _ in range(3))
+    _write_step_log(spark, sf, log)
+    step_changes.watch_changes(spark, log, out, state).awaitTermination()
+    return step_changes.state_of(spark, out).select("n", "of", "name", "state", "elapsed", "ts")
+
+
 @query
 def graph_report(spark, sf):
     """The report written as JSON rows and read back: its shares."""
