@@ -76,7 +76,7 @@ SPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 NON_SPACE_CLASS = "[^" + SPACE_CLASS[1:]
-RESERVED_CLASS = r"[-+&|!(){}\[\]^\"~*?:\\/]"
+RESERVED_CLASS = r'[+\-&|!(){}\[\]^"~*?:\\/]'
 TOKEN = r"[\p{L}\p{N}]+"
 PROFILE_REF = r"\[([aAlLrRmM])(?:([0-9]+)|=([^\[\]\n]{1,120}))\]"
 HREF = r'href="([^"]*)"'

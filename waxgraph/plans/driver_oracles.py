@@ -13,7 +13,7 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 NON_SPACE = "[^" + SPACE[1:]
-RESERVED = r"[-+&|!(){}\[\]^\"~*?:\\/]"
+RESERVED = r'[+\-&|!(){}\[\]^"~*?:\\/]'
 TOKEN = r"[\p{L}\p{N}]+"
 PROFILE_REF = r"\[([aAlLrRmM])(?:([0-9]+)|=([^\[\]\n]{1,120}))\]"
 HREF = r'href="([^"]*)"'
