@@ -763,7 +763,10 @@ UNION ALL SELECT 'RELEASED_ON', count(*) FROM kept HAVING count(*) > 0
 UNION ALL SELECT 'SUBLABEL', count(*) FROM nation HAVING count(*) > 0""",
     }
     found["graph_report"] = found["graph_shares"]
-    found["search_rank_unstored"] = found["updated_search"] = found["search_rank"]
+    found["stored_search_rank"] = found["updated_search"] = found["search_rank"]
+    found["stored_suggest"] = found["suggest"]
+    found["stored_search_graph"] = found["search_graph"]
+    found["stored_resolve_refs"] = found["resolve_refs"]
     found["canonical_by_bitmap"] = found["canonical_releases"]
     found["duplicate_places"] = """
 WITH placed AS (

@@ -695,13 +695,21 @@ def postings(spark, sf):
     return search.postings_table(search.documents(G.nodes(spark, sf)))
 
 
-def _searchable(spark, sf, limit: int, years: bool = False, cap: int | None = None):
-    """(queries, nodes, store): the index is stored once, as it is next to a graph."""
+def _searchable(spark, sf, limit: int, years: bool = False):
+    """(queries, nodes, edges, index), each written once for the steps that share it."""
     nodes = settle(G.nodes(spark, sf, years))
     edges = settle(G.edges(spark, sf))
-    store = search_store.write(nodes, edges, new_folder(spark), cap=cap)
+    index = search.build_index(search.documents(nodes))
+    index = search.Index(index.documents, settle(index.texts))
     queries = settle(search.prepare(G.search_queries(spark, sf, limit)))
-    return queries, nodes, store
+    return queries, nodes, edges, index
+
+
+def _stored(spark, sf, limit: int, years: bool = False, cap: int | None = None):
+    """(queries, nodes, store): the index is stored once, as it is next to a graph."""
+    nodes = settle(G.nodes(spark, sf, years))
+    store = search_store.write(nodes, settle(G.edges(spark, sf)), new_folder(spark), cap=cap)
+    return settle(search.prepare(G.search_queries(spark, sf, limit))), nodes, store
 
 
 @query
@@ -714,23 +722,27 @@ def search_scores(spark, sf):
 
 @query
 def search_rank(spark, sf):
-    queries, _, store = _searchable(spark, sf, SEARCH_LIMIT)
-    return store.rank(queries).select("query_id", "position", "kind", "id", "score", "degree")
+    queries, nodes, edges, index = _searchable(spark, sf, SEARCH_LIMIT)
+    ranked = search.rank(queries, index, nodes, edges)
+    return ranked.select("query_id", "position", "kind", "id", "score", "degree")
 
 
 @query
-def search_rank_unstored(spark, sf):
-    """The same rows from nodes and edges alone."""
-    nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
-    index = search.build_index(search.documents(nodes))
-    index = search.Index(index.documents, settle(index.texts))
-    queries = settle(search.prepare(G.search_queries(spark, sf, SEARCH_LIMIT)))
-    return search.rank(queries, index, nodes, edges).select("query_id", "position", "kind", "id", "score", "degree")
+def stored_search_rank(spark, sf):
+    """The same rows from the search tables, written here first."""
+    queries, _, store = _stored(spark, sf, SEARCH_LIMIT)
+    return store.rank(queries).select("query_id", "position", "kind", "id", "score", "degree")
 
 
 @query
 def suggest(spark, sf):
-    queries, _, store = _searchable(spark, sf, SUGGEST_LIMIT, years=True)
+    queries, nodes, edges, index = _searchable(spark, sf, SUGGEST_LIMIT, years=True)
+    return search.suggestions(search.rank(queries, index, nodes, edges))
+
+
+@query
+def stored_suggest(spark, sf):
+    queries, _, store = _stored(spark, sf, SUGGEST_LIMIT, years=True)
     return search.suggestions(store.rank(queries))
 
 
@@ -789,8 +801,17 @@ def tied_names(spark, sf):
 
 
 def _search_walk(spark, sf) -> tuple[DataFrame, DataFrame]:
-    queries, nodes, store = _searchable(spark, sf, SEARCH_LIMIT, cap=fixed.LIMIT_MAX)
-    return nodes, settle(searching.stored_walk(queries, store))
+    queries, nodes, edges, index = _searchable(spark, sf, SEARCH_LIMIT)
+    adjacency = settle(adj.adjacency(edges))
+    return nodes, settle(searching.search_walk(queries, nodes, edges, adjacency, index))
+
+
+@query
+def stored_search_graph(spark, sf):
+    """Search and expansion from stored tables alone."""
+    queries, nodes, store = _stored(spark, sf, SEARCH_LIMIT, cap=fixed.LIMIT_MAX)
+    found = expand.result_nodes(settle(searching.stored_walk(queries, store)), nodes)
+    return found.select("request_id", "position", "kind", "id", "title", "degree", "expanded")
 
 
 @query
@@ -829,9 +850,18 @@ def ref_usage(spark, sf):
 
 def _resolved(spark, sf) -> tuple[DataFrame, DataFrame]:
     nodes, edges = settle(G.nodes(spark, sf)), settle(G.edges(spark, sf))
-    store = search_store.write(nodes, edges, new_folder(spark), cap=None)
+    index = search.build_index(search.documents(nodes))
+    index = search.Index(index.documents, settle(index.texts))
     found = settle(refs.profile_refs(nodes))
-    return found, settle(refs.resolve_by(found, nodes, store.rank))
+    return found, settle(refs.resolve(found, nodes, edges, index))
+
+
+@query
+def stored_resolve_refs(spark, sf):
+    """References looked up with the stored index."""
+    nodes = settle(G.nodes(spark, sf))
+    store = search_store.write(nodes, settle(G.edges(spark, sf)), new_folder(spark), cap=None)
+    return refs.resolve_by(settle(refs.profile_refs(nodes)), nodes, store.rank)
 
 
 @query

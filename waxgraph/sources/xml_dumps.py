@@ -100,38 +100,56 @@ def read_nested_texts(spark: SparkSession, path: str | list[str], tag: str) -> D
     closing = f"</{tag}>"
     opening = opening_tag(tag)
     pieces = spark.read.option("lineSep", closing).text(path).select("value", _place())
-    opens = F.regexp_count("value", F.lit(opening))
-    # The steps are stored: places must not change, and the text is read once.
-    pieces = settle(pieces.select("place", "value", opens.alias("opens")))
+    # Stored, as places must not change and the text is to be read once. ``pos`` is one of
+    # a kind in a scan; it only orders pieces of one block.
+    opens = F.regexp_count("value", F.lit(opening)).cast("long")
+    pieces = settle(pieces.select("place", "value", F.col("place.pos").alias("pos"), opens.alias("opens")))
     block = ["file", "block"]
-    steps = pieces.select("place.file", "place.block", "place.pos", F.col("opens").cast("long").alias("opens"))
     inside = Window.partitionBy(*block).orderBy("pos")
-    # The last piece of a file ends with no closing tag; it takes none from the sum.
-    steps = steps.withColumn("nth", F.row_number().over(inside)).withColumn("after", F.sum("opens").over(inside) - F.col("nth"))
-    steps = settle(steps)
-    blocks = steps.groupBy(*block).agg(F.max_by("after", "nth").alias("net"))
+    narrow = pieces.select("place.file", "place.block", "pos", "opens").withColumn("nth", F.row_number().over(inside))
+    # The last piece of a file ends with no closing tag; nothing after it counts.
+    steps = settle(narrow.select(*block, "pos", "nth", (F.sum("opens").over(inside) - F.col("nth")).alias("after")))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = settle(blocks.select(*block, F.coalesce(F.sum("net").over(before), F.lit(0)).alias("depth")))
-    ended = steps.join(sums, block).select(
-        *block, "pos", (F.col("after") + F.col("depth") <= 0).cast("int").alias("ends")
-    )
-    ended = settle(ended)
+    nets = steps.groupBy(*block).agg(F.max_by("after", "nth").alias("net"))
+    depths = settle(nets.select(*block, F.coalesce(F.sum("net").over(before), F.lit(0)).alias("depth")))
+    ended = steps.join(depths, block).select(*block, "pos", (F.col("after") + F.col("depth") <= 0).cast("long").alias("ends"))
     counts = ended.groupBy(*block).agg(F.sum("ends").alias("ends"))
-    counts = settle(counts.select(*block, F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("earlier")))
-    upto = F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    owner = ended.select(*block, "pos", F.coalesce(upto, F.lit(0)).alias("own")).join(counts, block)
-    owner = settle(owner.select(*block, "pos", (F.col("own") + F.col("earlier")).alias("record")))
-    same = (F.col("place.file") == F.col("file")) & (F.col("place.block") == F.col("o.block")) & (F.col("place.pos") == F.col("pos"))
-    owned = pieces.join(owner.alias("o"), same).select("place", "value", "file", "record")
-    joined = owned.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("pieces"))
+    # Numbers go on from file to file: a record is told by one of them.
+    every = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = settle(counts.select(*block, F.coalesce(F.sum("ends").over(every), F.lit(0)).alias("earlier")))
+    upto = F.coalesce(F.sum("ends").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    owner = ended.withColumn("own", upto).join(counts, block).select("file", "pos", (F.col("own") + F.col("earlier")).alias("record"))
+    owned = pieces.join(owner, "pos").select("record", "file", F.struct("place.block", "pos", "place", "value").alias("piece"))
+    joined = owned.groupBy("record", "file").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
     text = F.concat(F.array_join("pieces.value", closing), F.lit(closing))
     body = F.regexp_extract(text, rf"(?s){opening}.*$", 0)
     return joined.select(F.col("pieces")[0]["place"].alias("place"), body.alias("content")).where("content <> ''")
 
 
 def read_label_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(place, content): the XML text of every outermost label, unparsed."""
-    return read_nested_texts(spark, path, "label")
+    """(place, content): the XML text of every outermost label, unparsed.
+
+    Labels nest in labels. Where the first of a dump opens without an attribute, outermost
+    ones do and nested ones do not: the cut is at that tag, which costs a fraction, and a
+    label that does not keep to it comes out malformed and is set aside. A dump that
+    begins otherwise is read by ``read_nested_texts``.
+    """
+    tag = F.regexp_extract("value", opening_tag("label"), 0)
+    pieces = spark.read.option("lineSep", "</label>").text(path).select(tag.alias("tag"))
+    first = pieces.where("tag <> ''").head()
+    if first and first["tag"] != "<label>":
+        return read_nested_texts(spark, path, "label")
+    return _read_bare_labels(spark, path)
+
+
+def _read_bare_labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    opening, closing = "<label>", "</label>"
+    pieces = spark.read.option("lineSep", opening).text(path).select("value", _place())
+    # What stands before the first record has no closing tag.
+    body = F.regexp_extract("value", r"(?s)^(.*)</label>", 1)
+    return pieces.where(F.contains("value", F.lit(closing))).select(
+        "place", F.concat(F.lit(opening), body, F.lit(closing)).alias("content")
+    )
 
 
 def _item_ids(column: str, field: str) -> Column:
