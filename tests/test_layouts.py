@@ -105,7 +105,7 @@ def test_the_first_label_tells_how_a_dump_is_cut(spark, tmp_path):
     for name, text in (("bare", bare), ("named", bare.replace("<label>", "<label kind='x'>"))):
         (tmp_path / f"{name}.xml").write_text(text)
         found = xml_dumps.read_records_spread(spark, str(tmp_path / f"{name}.xml"), "label", 2)
-        assert rows_of(found, "id", "name") == [("3", None), ("1", "a")]
+        assert rows_of(found, "id", "name") == [("1", "a"), ("3", None)]
 
 
 def test_what_is_open_at_the_end_is_no_whole_record(spark, tmp_path):
